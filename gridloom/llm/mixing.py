@@ -195,7 +195,8 @@ def oracle_sql(block: int = BLOCK, seed: int = SEED) -> str:
     for k in range(1, ROUNDS + 1):
         partner = f"((({round_key(str(k), seed)} - x) % n + n) % n)"
         bit = f"({mixed_hash(f'greatest(x, q) * 64 + {k}', str(seed + 2))} // 65536) % 2"
-        rounds.append(f"x{k} AS (SELECT sid, pass, n, CASE WHEN {bit} = 1 THEN q ELSE x END AS x FROM (SELECT *, {partner} AS q FROM x{k - 1}))")
+        rounds.append(f"y{k} AS MATERIALIZED (SELECT *, {partner} AS q FROM x{k - 1})")
+        rounds.append(f"x{k} AS MATERIALIZED (SELECT sid, pass, n, CASE WHEN {bit} = 1 THEN q ELSE x END AS x FROM y{k})")
     draw = mixed_hash("id", str(seed))
     return f"""
 WITH base AS MATERIALIZED (
@@ -213,15 +214,15 @@ q AS MATERIALIZED (
   SELECT *, ceil(s / {block}.0)::BIGINT AS n, CASE WHEN s = 0 THEN 0 ELSE least({REPEATS} * ceil(s / {block}.0), floor(ceil(s / {block}.0) * target / s + 0.5))::BIGINT END AS quota FROM tgt),
 e AS (SELECT *, ({PRIME} * (sum(quota) OVER (ORDER BY sid))::HUGEINT // greatest(1, sum(quota) OVER ())::HUGEINT)::BIGINT AS fin FROM q),
 num AS (SELECT sum(quota)::BIGINT AS slots FROM q),
-dr AS (SELECT id, (SELECT count(*) FROM e WHERE e.fin <= {draw}) AS sid FROM num, range(num.slots) r(id)),
-jj AS (SELECT id, sid, row_number() OVER (PARTITION BY sid ORDER BY id) - 1 AS j FROM dr),
+dr AS MATERIALIZED (SELECT id, (SELECT count(*) FROM e WHERE e.fin <= {draw}) AS sid FROM num, range(num.slots) r(id)),
+jj AS MATERIALIZED (SELECT id, sid, row_number() OVER (PARTITION BY sid ORDER BY id) - 1 AS j FROM dr),
 had AS (SELECT sid, count(*) AS h FROM dr GROUP BY sid),
 lack AS (SELECT q.sid, coalesce(h, 0) AS h, greatest(0, quota - coalesce(h, 0)) AS lk FROM q LEFT JOIN had USING (sid)),
 lk2 AS (SELECT *, sum(lk) OVER (ORDER BY sid) AS hi, sum(lk) OVER (ORDER BY sid) - lk AS lo FROM lack),
 kept AS (SELECT jj.sid, j FROM jj JOIN q USING (sid) WHERE j < quota),
 mv AS (SELECT row_number() OVER (ORDER BY id) - 1 AS g FROM jj JOIN q USING (sid) WHERE j >= quota),
 sl AS (SELECT * FROM kept UNION ALL SELECT lk2.sid, h + g - lo FROM mv JOIN lk2 ON g >= lo AND g < hi),
-x0 AS (SELECT sl.sid, (j // n)::BIGINT AS pass, n, (j % n)::BIGINT AS x FROM sl JOIN q USING (sid)),
+x0 AS MATERIALIZED (SELECT sl.sid, (j // n)::BIGINT AS pass, n, (j % n)::BIGINT AS x FROM sl JOIN q USING (sid)),
 {", ".join(rounds)},
 tk AS (SELECT sid, x AS block, count(*) AS times FROM x{ROUNDS} GROUP BY ALL),
 cnt AS (SELECT greatest(1, floor(sqrt(count(*)))::BIGINT) AS b FROM base),
