@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 #: The only separators of words in these operators: space, tab, newline, vertical tab, form feed, carriage return.
 WORD_BREAKS = " \t\n\x0b\f\r"
 WORD_BREAK_CLASS = r"[ \t\n\x0B\f\r]"
@@ -33,6 +35,8 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a worker-side set-up: ``make`` runs once a task and returns the function for a batch."""
 
+    importable(spark_of(df))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for b in batches:
