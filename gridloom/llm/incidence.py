@@ -44,7 +44,7 @@ class WordHashes(dict):
 def deltas(v: np.ndarray) -> bytes:
     v = np.asarray(v, np.int64)
     d = np.diff(v, prepend=np.int64(0))
-    kind = np.int16 if len(d) and np.abs(d[1:]).max(initial=0) < 32_767 and abs(int(d[0])) < 32_767 else np.int64
+    kind = np.int16 if len(d) and d.max() < 32_767 and d.min() > -32_767 else np.int64
     return (b"\1" if kind is np.int16 else b"\0") + d.astype(kind).tobytes()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, quality_knn, quality_rules, substring_dedup, token_counts, toxicity, winnowing
+from . import bpe, licenses, mixing, ngram_join, quality_knn, quality_rules, substring_dedup, token_counts, toxicity, winnowing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.per_row(documents(spark, sf_dir))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edit_comparison(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_fingerprints": op2_fingerprints,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
