@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules
+from . import bpe, mixing, ngram_join, quality_rules, substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,6 +17,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter(~quality_rules.failed()).select(*COLUMNS)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of smallest id; null ids and empty texts stay."""
+    found = ngram_join.classes(docs)
+    gone = found.filter("component_id <> doc_id").select("doc_id")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that earlier ones have; those that lose all their words go."""
+    cleaned = substring_dedup.dedup(docs, carry=("lang", "source"), as_is=True)
+    left = cleaned.filter("n_removed = 0 OR n_removed < n_words").withColumnRenamed("kept", "text")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources as documents, once or twice each."""
     return mixing.mixed_documents(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))

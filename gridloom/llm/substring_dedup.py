@@ -224,9 +224,10 @@ def reference_spans(docs: DataFrame, shared: DataFrame, length: int) -> DataFram
     return owners.mapInArrow(run, "owner long, spans binary")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by a space) for every row.
+def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by a space) and the columns ``carry`` for every row.
 
+    With ``as_is`` a text that loses nothing is kept as it stands, white space and all.
     A null or empty text has no words. A null id is never an owner and loses nothing. Rows of one id are one document
     as owners, and each row loses what a smaller id has.
     """
@@ -239,7 +240,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     shared = stored(shared_windows(window_blocks(rows, length, n_ranges, n_buckets), n_buckets), "shared-windows")
     spans = reference_spans(rows, shared, length)
     shards = shared.filter("kind = 1").select("owner", F.col("value").alias("bucket")).distinct().join(spans, "owner")
-    placed = rows.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n_buckets)))
+    extra = [f"_carried_{i}" for i in range(len(carry))]
+    placed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(x) for c, x in zip(carry, extra, strict=True)])
+    placed = placed.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n_buckets)))
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
         auto = SuffixAutomaton(length)
@@ -254,11 +257,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
             gone = auto.covered(words, doc_id) if some and doc_id is not None and len(words) >= length else None
             n = int(gone.sum()) if gone is not None else 0
             kept = [w for w, g in zip(words, gone, strict=True) if not g] if n else words
-            out.append((doc_id, len(words), n, b" ".join(kept).decode("utf-8", "surrogatepass")))
+            out.append((doc_id, len(words), n, text if as_is and not n else b" ".join(kept).decode("utf-8", "surrogatepass")))
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
+        made = [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)]
+        return pa.table(made + [left.column(x) for x in extra], names=["doc_id", "n_words", "n_removed", "kept", *extra])
 
-    return placed.groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInArrow(clean, "doc_id long, n_words long, n_removed long, kept string")
+    schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", {x} {placed.schema[x].dataType.simpleString()}" for x in extra)
+    cleaned = placed.groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInArrow(clean, schema)
+    return cleaned.select("doc_id", "n_words", "n_removed", "kept", *[F.col(x).alias(c) for c, x in zip(carry, extra, strict=True)])
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
