@@ -68,7 +68,9 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     )
     out = out.withColumn("_places", F.expr("sort_array(transform(filter(_windows, (x, k) -> coalesce(x.w = get(_windows, k - 1).w, false) OR coalesce(x.w = get(_windows, k + 1).w, false)), x -> x.i))"))
     covered = "aggregate(transform(_places, (x, k) -> least(3, coalesce(get(_places, k + 1) - x, 3))), 0, (s, x) -> s + x)"
-    out = out.withColumn("n_repeat_words", F.expr(covered).cast("long"))
+    # the row number is never negative; it keeps the optimizer from moving a later filter below these projections, where
+    # it would evaluate the window arrays again at every mention
+    out = out.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, F.expr(covered)).cast("long"))
     return out.select("doc_id", *[F.col(f"_kept_{i}").alias(c) for i, c in enumerate(keep or [])], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
 
 
