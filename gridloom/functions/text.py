@@ -68,7 +68,8 @@ def is_value(column: str) -> Column:
 def grams(column: str, n: int = 3) -> Column:
     """Character n-grams of the lower-cased, squeezed text; none where it is shorter than n."""
     t = rf"regexp_replace(lower({column}), {literal('(?U)' + chr(92) + 's+')}, ' ')"
-    return F.expr(f"CASE WHEN length({t}) >= {n} THEN transform(sequence(1, length({t}) - {n - 1}), i -> substring({t}, i, {n})) ELSE array() END")
+    # bound once by the outer lambda: inside the inner one it would be made again for every gram
+    return F.expr(f"transform(array({t}), t -> CASE WHEN length(t) >= {n} THEN transform(sequence(1, length(t) - {n - 1}), i -> substring(t, i, {n})) ELSE array() END)[0]")
 
 
 def fixed_pieces(column: str, size: int) -> Column:

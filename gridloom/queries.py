@@ -264,8 +264,8 @@ ORACLE_SQL: dict[str, str] = {
     "row_kv_list": "SELECT s_nationkey::BIGINT AS doc_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS row, 'Key: ' || s_suppkey || ', Name: ' || s_name || ', Mark: x' AS kv FROM supplier",
     "markdown_tables": "SELECT s_nationkey::BIGINT AS doc_id, md5('| Key | Name | Mark |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || s_suppkey || ' | ' || s_name || ' | x |', chr(10) ORDER BY s_suppkey)) AS text_md5 FROM supplier GROUP BY 1",
     "generated_queries": BASE
-    + ", t AS (SELECT *, k - 1 AS row, (SELECT arg_min(i, md5('0|' || doc_id || '|0|' || (k - 1) || '|' || i)) FROM range(2, 5) u(i)) AS c, md5('0|' || doc_id || '|0|' || (k - 1)) AS h FROM n), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h, row) AS nth FROM t) SELECT doc_id || '-0-' || row AS query_id, r_name || ' States에서 ' || (CASE WHEN row = 0 THEN r_name || ' ' ELSE '' END) || n_name || ' 의 Orders ' || (['F', 'O', 'P'])[c - 1] || '은 얼마인가?' AS q, (CASE WHEN row = 0 THEN r_name || '|' ELSE '' END) || n_name AS keys, 'Orders > ' || (['F', 'O', 'P'])[c - 1] AS label, ([f, o, p])[c - 1] || ' orders 00' AS answer, r_name || ' States' AS scope FROM s WHERE nth <= 3",
-    "pages_title_heading": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS scope_title FROM pages",
+    + ", t AS (SELECT *, k - 1 AS row, (SELECT arg_min(i, md5('0|' || doc_id || '|0|' || (k - 1) || '|' || i)) FROM range(2, 5) u(i)) AS c, md5('0|' || doc_id || '|0|' || (k - 1)) AS h FROM n), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h, row) AS nth FROM t) SELECT doc_id || '-0-' || row AS query_id, r_name || ' States에서 ' || r_name || ' ' || n_name || ' 의 Orders ' || (['F', 'O', 'P'])[c - 1] || '은 얼마인가?' AS q, r_name || '|' || n_name AS keys, 'Orders > ' || (['F', 'O', 'P'])[c - 1] AS label, ([f, o, p])[c - 1] || ' orders 00' AS answer, r_name || ' States' AS scope FROM s WHERE nth <= 3",
+    "pages_title_heading": "SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS scope_title FROM pages",
     "pages_links": "SELECT page_id, len(regexp_extract_all(html, '<a[ >]'))::BIGINT AS n_links FROM pages",
     "docs_fixed_chunks": "SELECT doc_id, i AS chunk_no, md5(substring(text, i * 900 + 1, 900)) AS piece_md5 FROM (SELECT doc_id, text, unnest(range(((length(text) + 899) // 900)::BIGINT)) AS i FROM documents WHERE length(text) > 0)",
     "docs_trigram_df": f"SELECT gram, count(*) AS df FROM (SELECT item_id, unnest(list_distinct({GRAM})) AS gram FROM (SELECT item_id, {LOWER} AS t FROM benchmark)) GROUP BY gram",

@@ -120,6 +120,8 @@ class Builder(HTMLParser):
             if self.root.first("head") is None and self.root.first("body") is None:
                 self._open("head", given)
             return
+        if tag in IN_HEAD and len(self.stack) == 1 and not any(c.name[0] != "#" or c.name == "#text" and c.text.strip() for c in self.root.children):
+            self._open("head")  # implied: nothing to read has come yet
         if self.stack[-1].name == "head" and tag not in IN_HEAD:
             self._leave_head()
         if tag in TABLE_PARTS:
