@@ -12,7 +12,7 @@ from .conftest import SF
 
 @pytest.mark.parametrize("label, module", [("toxic", toxicity), ("quality", quality_knn)])
 def test_held_out(spark, label, module):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # 120 toxic held-out rows; sf0.01 has 14
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     y = {r["doc_id"]: r[label] for r in labels.collect() if r[label] is not None}
     got = module.held_out_scores(docs, labels).collect()
@@ -21,7 +21,7 @@ def test_held_out(spark, label, module):
     pos, neg = [s for s, v in held if v], [s for s, v in held if not v]
     auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
     print(label, len(pos), len(neg), auc)
-    assert auc >= 0.9
+    assert auc >= 0.95
 
 
 @pytest.mark.parametrize("module", [toxicity, quality_knn])
