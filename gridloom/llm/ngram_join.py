@@ -33,6 +33,8 @@ from .winnowing import gram_hashes
 N = 5
 PERCENT = 75
 ROUNDS = 3
+#: A round of which less than one pair in so many links is the last; the exhaustive step does what is left.
+FRUITLESS = 20
 #: Documents that pruning leaves up to which their ids are broadcast to the scan; beyond, a shuffled join.
 BROADCAST_ROWS = 200_000
 
@@ -270,21 +272,21 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "
     sets = stored(sets_of(rows.join(left, "doc_id", "left_semi"), n).filter("n > 0"), "sets")
     members = sets.groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = stored(sets.join(members.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"]).select("doc_id", "n", "key", "grams").dropDuplicates(["doc_id", "key"]), "reps")
-    links = representatives(reps, percent, n_ranges, n_buckets)
+    tied, links = representatives(reps, percent, n_ranges, n_buckets)
     own = sets.select("doc_id", "key").join(members, "key").select("doc_id", F.col("rep").alias("label"))
     # ids with several rows tie their classes together, as do links between representatives
     ties = own.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("a", "b")
-    labels = components(stored(members.select(F.col("rep").alias("doc_id")).distinct().withColumn("comp", F.col("doc_id")), "start"), links.unionByName(ties))
+    start = members.select(F.col("rep").alias("doc_id")).distinct().join(tied, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    labels = components(stored(start, "start"), links.unionByName(ties))
     comp = own.join(labels.withColumnRenamed("doc_id", "label"), "label").groupBy("doc_id").agg(F.min("comp").alias("comp"))
     return sizes.join(comp, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def representatives(reps: DataFrame, percent: int, n_ranges: int, n_buckets: int) -> DataFrame:
-    """Links (a, b) between representatives, enough to tie all that link into their components."""
+def representatives(reps: DataFrame, percent: int, n_ranges: int, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Components (doc_id, comp) that the rounds found, and the links (a, b) that still tie some of them together."""
     index = stored(index_of(reps, percent, n_ranges, n_buckets), "index")
     labels = stored(index.select("doc_id").distinct().withColumn("comp", F.col("doc_id")), "comps")
     spark = spark_of(reps)
-    links = spark.createDataFrame([], "a long, b long")
     tried = spark.createDataFrame([], "a long, b long")
     sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     for _ in range(ROUNDS):
@@ -294,15 +296,20 @@ def representatives(reps: DataFrame, percent: int, n_ranges: int, n_buckets: int
         best = pairs.groupBy("doc_id", "b").agg(F.count("*").alias("k")).select(F.col("doc_id").alias("a"), "b", "k")
         best = best.join(tried, ["a", "b"], "left_anti").groupBy("a").agg(F.max(F.struct("k", "b")).alias("t")).select("a", F.col("t.b").alias("b"))
         best = stored(best, "centres")
-        if best.limit(1).count() == 0:
+        n_best = best.count()
+        if n_best == 0:
             break
         new = stored(linked(best, reps, percent), "found")
-        tried, links = tried.unionByName(best), links.unionByName(new)
-        labels = components(labels, new)
+        n_new = new.count()
+        tried = tried.unionByName(best)
+        if n_new:
+            labels = components(labels, new)
+        if n_new * FRUITLESS < n_best:
+            break
     live = open_lists(index, labels)
     a, b = live.select("gram", F.col("doc_id").alias("a"), "n", "comp"), live.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
     rest = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("other"))).filter(sizes).select("a", "b").distinct()
-    return links.unionByName(linked(stored(rest, "rest"), reps, percent))
+    return labels, linked(stored(rest, "rest"), reps, percent)
 
 
 def open_lists(index: DataFrame, labels: DataFrame) -> DataFrame:
