@@ -2,7 +2,8 @@
 
 Every run of K code points has a rolling hash; of each W consecutive hashes the smallest is chosen, the rightmost
 of equal ones, with its position. Two texts that share any K + W - 1 code points in a row share at least one chosen
-hash; no shared run shorter than K is ever reported.
+hash; no shared run shorter than K is ever reported. K and W are what winnow() takes when not told otherwise; the
+fingerprints of documents are by GRAM and WINDOW, which leave a short text several chosen hashes.
 """
 
 from __future__ import annotations
@@ -21,9 +22,14 @@ from .common import map_batches, small_batches, spark_of, texts
 
 K = 24
 W = 105
+#: Of documents: any 15 code points in a row that two texts share are a hit; about two hashes in nine are kept.
+GRAM = 8
+WINDOW = 8
 #: Chosen hashes carry 40 bits of hash and 24 of position; longer texts go segment by segment, positions modulo 2**24.
 PLACE_BITS = 24
 SEGMENT = 1 << 22
+#: Hex digits of fingerprints after which the comparison hands a batch on; they take several times their text's room.
+HANDED = 32 << 20
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -103,7 +109,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [winnow(t or "") for t in b.column(1).to_pylist()]
+            rows = [winnow(t or "", GRAM, WINDOW) for t in b.column(1).to_pylist()]
             out = [[{"hash": int(x) >> PLACE_BITS, "pos": int(x) & 0xFFFFFF} for x in r] for r in rows]
             return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["doc_id", "fingerprint"])
 
@@ -155,18 +161,25 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
         last = None  # bucket, doc_id, text, fingerprint of the row before
         for b in batches:
-            out = []
+            out, size = [], 0
             for bucket, edge, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                print_ = winnow(text)
+                print_ = winnow(text, GRAM, WINDOW)
                 if last and last[0] == bucket:
                     _, own_id, own, own_print = last
                     new = edited(own, text)
-                    new_print = winnow(new)
+                    new_print = winnow(new, GRAM, WINDOW)
                     out.append((own_id, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), as_string(own_print), as_string(new_print), likeness(own_print, new_print), likeness(own_print, print_)))
+                    size += 16 * (len(own_print) + len(new_print))
+                    if size >= HANDED:
+                        yield handed()
+                        out, size = [], 0
                 last = None if edge else (bucket, doc_id, text, print_)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                yield handed()
 
     return with_following(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -100,6 +100,22 @@ def test_winnowing_rule():
         assert [int(x) & 0xFFFFFF for x in picked] == brute.winnowed([int(x) for x in h], winnowing.W)
 
 
+def test_fingerprints_meet_in_short_shared_runs(spark):
+    rng = random.Random(6)
+    letters = "".join(map(chr, range(0x4E00, 0x5E00)))
+    fresh = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    for n in (30, 47, 127, 309):
+        shared = fresh(15)
+        # the higher id's next is the lower: they share 15 code points and nothing else
+        rows = [(2, fresh(n) + shared + fresh(n)), (1, fresh(n // 2) + shared + fresh(n))]
+        got = {r["doc_id"]: r for r in winnowing.edit_comparison(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[2]["near_next"] > 0 and got[2]["near_edited"] > 0 and got[1]["near_edited"] > 0
+    for n in (15, 16, 30, 47, 127):
+        rows = [(2, fresh(n)), (1, fresh(n))]
+        got = {r["doc_id"]: r for r in winnowing.edit_comparison(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[2]["near_next"] == 0 and (got[2]["near_edited"] > 0 or n < 30)
+
+
 def test_bpe(case):
     df, rows = case
     lib = Tokenizer.from_file(PATH)
