@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import importable
+
 #: White space and invisible characters that collapse to one space.
 GAPS = r"[\s ​‌‍﻿]+"
 _GAPS = re.compile(GAPS)
@@ -65,13 +70,47 @@ def is_value(column: str) -> Column:
     return F.expr(is_value_sql(column))
 
 
+def squeezed(column: str) -> str:
+    """SQL of a text in lower case, each run of white space one space."""
+    return rf"regexp_replace(lower({column}), {literal('(?U)' + chr(92) + 's+')}, ' ')"
+
+
 def grams(column: str, n: int = 3) -> Column:
     """Character n-grams of the lower-cased, squeezed text; none where it is shorter than n."""
-    t = rf"regexp_replace(lower({column}), {literal('(?U)' + chr(92) + 's+')}, ' ')"
+    t = squeezed(column)
     # bound once by the outer lambda: inside the inner one it would be made again for every gram
     return F.expr(f"transform(array({t}), t -> CASE WHEN length(t) >= {n} THEN transform(sequence(1, length(t) - {n - 1}), i -> substring(t, i, {n})) ELSE array() END)[0]")
 
 
+def document_frequencies(df: DataFrame, column: str) -> DataFrame:
+    """(gram, df): how many rows have each of grams()'s trigrams. Tasks count as three code points in one number, without a row a gram."""
+    importable(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            points = np.stack([code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF], axis=1).astype("<u4")
+            return pa.RecordBatch.from_arrays([pa.array([p.tobytes().decode("utf-32-le") for p in points], pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                p = np.frombuffer((t or "").encode("utf-32-le"), "<u4").astype(np.int64)
+                if len(p) < 3:
+                    continue
+                held.append(np.unique(p[:-2] << 42 | p[1:-1] << 21 | p[2:]))
+                size += len(held[-1])
+                if size >= 1_000_000:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    return df.select(F.expr(squeezed(column)).alias("t")).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("df"))
+
+
 def fixed_pieces(column: str, size: int) -> Column:
     """Pieces of ``size`` characters, the last one shorter; none of an empty text."""
     return F.expr(f"CASE WHEN length({column}) > 0 THEN transform(sequence(0, cast((length({column}) - 1) div {size} AS int)), i -> substring({column}, i * {size} + 1, {size})) ELSE array() END")

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.quantity import with_number
-from .functions.text import fixed_pieces, grams, is_value, numbers_sql
+from .functions.text import document_frequencies, fixed_pieces, is_value, numbers_sql
 from .operators.anonymize import anonymize, anonymize_text
 from .operators.chunk import markdown, table_aware
 from .operators.evalset import gen_queries
@@ -129,8 +129,7 @@ def docs_fixed_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docs_trigram_df(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(grams("text"))).alias("gram"))
-    return d.groupBy("gram").agg(F.count("*").alias("df"))
+    return document_frequencies(read(spark, sf, "documents"), "text")
 
 
 def tfidf_rank_top5(spark: SparkSession, sf: str) -> DataFrame:

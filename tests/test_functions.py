@@ -1,6 +1,10 @@
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import queries
 from gridloom.functions import quantity, text
 from gridloom.operators.anonymize import masked
 from gridloom.operators.retrieve import CharTfidf, HybridRRF, Reranked, build_retriever, fuse, within_budget
@@ -34,6 +38,18 @@ def test_text(spark):
     assert one(F.expr(text.packed_sql("s", 12)), "One two. Three four. Five") == ["One two.", "Three four.", "Five"]
 
 
+def test_trigram_df_reads_documents(spark, tmp_path):
+    texts = ["Ab  c ab C", "ab\tc", "abc abc abc", "한글 문서 \U0001f600\U0001f600\U0001f600x", "ab", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "only here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = Counter()
+    for t in texts:
+        t = re.sub(r"\s+", " ", (t or "").lower())
+        want.update({t[i : i + 3] for i in range(len(t) - 2)})
+    got = queries.docs_trigram_df(spark, str(tmp_path)).collect()
+    assert {r["gram"]: r["df"] for r in got} == want and len(got) == len(want)
+
+
 def test_decoding(spark):
     rows = [("가나".encode("euc-kr"), "가나"), ("가나".encode(), "가나"), (b"\xff\xff\xff", "���"), (None, None)]
     assert all(r["html"] == r["want"] for r in decoded(spark.createDataFrame(rows, "content binary, want string")).collect())
