@@ -263,6 +263,25 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "
     small_batches(spark)
     importable(spark)
     rows = texts(docs, id_col, text_col)
+    again = stored(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("again")), "again")
+    n_again = again.count()
+    if n_again == 0:
+        return row_classes(rows, n, percent)
+    # rows of an id that others have too go by a hash of id and text, and are tied when components are known
+    keyed = rows.join(F.broadcast(again) if n_again <= BROADCAST_ROWS else again, "doc_id", "left").withColumn("row", F.when(F.col("again"), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).otherwise(F.col("doc_id")))
+    owners = stored(keyed.filter("again").select("row", F.col("doc_id").alias("owner")).distinct(), "owners")
+    found = row_classes(texts(keyed, "row"), n, percent).join(owners, F.col("doc_id") == F.col("row"), "left")
+    found = stored(found.select(F.coalesce("owner", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("label")), "rows")
+    low = found.groupBy("doc_id").agg(F.min("label").alias("a"))
+    ties = found.join(low, "doc_id").filter("a < label").select("a", F.col("label").alias("b")).distinct()
+    # each starts from its least id: components that share it are one already
+    labels = components(found.groupBy("label").agg(F.min("doc_id").alias("comp")).select(F.col("label").alias("doc_id"), "comp"), ties)
+    return found.join(labels.withColumnRenamed("doc_id", "label"), "label").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("comp").alias("component_id"))
+
+
+def row_classes(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """classes() of rows (doc_id, text) of which none share an id, unless they share the text too."""
+    spark = spark_of(rows)
     n_ranges = ranges(spark, rows)
     n_buckets = n_ranges | 1
     counts = stored(pruning_counts(pruning_blocks(rows, n, percent, n_ranges), n_buckets), "pruning")
@@ -274,10 +293,8 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "
     reps = stored(sets.join(members.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"]).select("doc_id", "n", "key", "grams").dropDuplicates(["doc_id", "key"]), "reps")
     tied, links = representatives(reps, percent, n_ranges, n_buckets)
     own = sets.select("doc_id", "key").join(members, "key").select("doc_id", F.col("rep").alias("label"))
-    # ids with several rows tie their classes together, as do links between representatives
-    ties = own.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("a", "b")
     start = members.select(F.col("rep").alias("doc_id")).distinct().join(tied, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    labels = components(stored(start, "start"), links.unionByName(ties))
+    labels = components(stored(start, "start"), links)
     comp = own.join(labels.withColumnRenamed("doc_id", "label"), "label").groupBy("doc_id").agg(F.min("comp").alias("comp"))
     return sizes.join(comp, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 

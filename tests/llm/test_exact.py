@@ -57,6 +57,17 @@ def test_ngram_join_repeated_rows_and_null_ids(spark):
     assert got == [("1", 1), ("1", 1), ("2", 1), ("3", 3), ("None", None)]
 
 
+def test_ngram_join_rows_of_one_id_link_by_themselves(spark):
+    fresh = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    a, b, c = fresh("a", 8), fresh("b", 30), fresh("c", 12)
+    rows = [(1, a), (1, fresh("long", 1000)), (2, a), (9, a), (9, b), (9, c), (9, None), (7, b), (8, c), (8, fresh("d", 400)), (5, b + " x"), (6, fresh("e", 20)), (6, fresh("f", 200)), (4, fresh("f", 200)), (10, ""), (10, None)]
+    rng = random.Random(5)
+    near = [(100 + rng.randrange(150), t) for _, t in near_copies(8, 25, 3)]
+    for case in (rows, near, rows + near):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.per_row(spark.createDataFrame(case, "doc_id long, text string").repartition(5)).collect()}
+        assert got == brute.jaccard_components(case)
+
+
 def test_substring_dedup(case):
     df, rows = case
     got = substring_dedup.digest(substring_dedup.dedup(df)).collect()
