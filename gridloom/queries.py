@@ -110,7 +110,7 @@ def pages_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages_tags(spark: SparkSession, sf: str) -> DataFrame:
-    return tag_counts(extract(read(spark, sf, "pages"), "page_id")).filter("tag IN ('p', 'a', 'li', 'h1', 'title', 'script')")
+    return tag_counts(extract(read(spark, sf, "pages"), "page_id"))
 
 
 def pages_chunks(spark: SparkSession, sf: str) -> DataFrame:

@@ -50,6 +50,14 @@ def test_trigram_df_reads_documents(spark, tmp_path):
     assert {r["gram"]: r["df"] for r in got} == want and len(got) == len(want)
 
 
+def test_pages_tags_counts_every_tag(spark, tmp_path):
+    pages = [(1, "<title>t</title><div><p>a<b>b</b><br>c<ul><li>d</ul></div>"), (2, "<nav><a href=x>y</a></nav><p>e<p>f<table><tr><td>1</table>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["tag"]: r["n"] for r in queries.pages_tags(spark, str(tmp_path)).collect()}
+    implied = {"html": 2, "head": 2, "body": 2, "tbody": 1}
+    assert got == implied | {"title": 1, "div": 1, "p": 3, "b": 1, "br": 1, "ul": 1, "li": 1, "nav": 1, "a": 1, "table": 1, "tr": 1, "td": 1}
+
+
 def test_decoding(spark):
     rows = [("가나".encode("euc-kr"), "가나"), ("가나".encode(), "가나"), (b"\xff\xff\xff", "���"), (None, None)]
     assert all(r["html"] == r["want"] for r in decoded(spark.createDataFrame(rows, "content binary, want string")).collect())
