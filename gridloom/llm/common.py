@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,12 +20,19 @@ WORD_BREAKS = " \t\n\x0b\f\r"
 WORD_BREAK_CLASS = r"[ \t\n\x0B\f\r]"
 
 
+#: Temporary folder of this process, by master.
+_own: dict[str, str] = {}
+
+
 def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 32) -> None:
-    """Bound an Arrow batch by rows and bytes, so that a worker's memory does not follow the length of texts."""
+    """Bound an Arrow batch by rows and bytes, so that a worker's memory does not follow the length of texts.
+
+    Plans read these two settings when they run, later than the call that builds them: they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
@@ -47,12 +57,17 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one only on a local master."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"master {master}: spark.checkpoint.dir must name a folder that driver and executors share")
+    if master not in _own:
+        _own[master] = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, _own[master], ignore_errors=True)
+    return "file://" + _own[master]
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -60,7 +75,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = spark_of(df)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t._stored_at
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def words_of(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Blocks of the sparse incidence matrix of documents by n-grams, dealt out by column range.
 
 An entry is (hash of an n-gram, document, payload). A map task packs the entries of about a million n-grams into one compressed
-block for each column range; a reduce task gets all blocks of its range. Entries never become Spark rows.
+block for each column range; a reduce task gets all blocks of its range. Entries never become Spark rows. Hashes keep all 64 bits.
 """
 
 from __future__ import annotations
@@ -9,23 +9,30 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Entries that a map task gathers before it packs them.
 FLUSH = 1_000_000
-#: Bytes of compressed input for each column range: about two million entries.
-RANGE_BYTES = 8 << 20
+#: Bytes of text for each column range: about a million entries. While there are fewer ranges than shuffle partitions they may be smaller.
+RANGE_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
 
 
-def ranges(spark: SparkSession, docs: DataFrame) -> int:
-    """Number of column ranges: grows with the input as planned, so that a range's entries fit a worker."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(65_536, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES))
+def ranges(docs: DataFrame, text_col: str = "text") -> int:
+    """Number of column ranges by the bytes of text that there are, so that a range's entries fit a worker at any size of the table."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    few = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES)
+    return max(1, few, min(1 << 30, -(-size // RANGE_BYTES)))
 
 
 def range_of(h: np.ndarray, n: int) -> np.ndarray:
-    """From the top 16 bits; the other 48 are what an entry keeps."""
-    return ((h >> np.uint64(48)) * np.uint64(n) >> np.uint64(16)).astype(np.int64)
+    """Equal ranges of the upper half of a hash."""
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the length of the array at the end."""
+    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1], True]) if len(sorted_) else np.zeros(1, np.int64)
 
 
 class WordHashes(dict):
@@ -53,11 +60,10 @@ def undeltas(b: bytes) -> np.ndarray:
 
 
 def pack(*columns: np.ndarray, hashes: np.ndarray | None = None) -> bytes:
-    """Integer columns, delta-coded and compressed; hashes by their lower 48 bits, as they are."""
+    """Integer columns, delta-coded and compressed; hashes whole and as they are. Columns may differ in length."""
     parts = [zstandard.compress(deltas(c), 1) for c in columns]
-    raw = b"" if hashes is None else np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
     head = np.array([len(p) for p in parts], np.int32).tobytes()
-    return head + b"".join(parts) + raw
+    return head + b"".join(parts) + (b"" if hashes is None else np.ascontiguousarray(hashes, "<u8").tobytes())
 
 
 def unpack(blob: bytes, columns: int, hashed: bool = False) -> list[np.ndarray]:
@@ -66,12 +72,7 @@ def unpack(blob: bytes, columns: int, hashed: bool = False) -> list[np.ndarray]:
     for n in sizes:
         out.append(undeltas(zstandard.decompress(blob[at : at + n])))
         at += int(n)
-    if hashed:
-        low = np.frombuffer(blob, np.uint8, offset=at).reshape(-1, 6)
-        full = np.zeros((len(low), 8), np.uint8)
-        full[:, :6] = low
-        out.append(full.view("<u8").reshape(-1))
-    return out
+    return out + [np.frombuffer(blob[at:], "<u8")] * hashed
 
 
 def gather(blobs: list[bytes], columns: int, hashed: bool = False) -> list[np.ndarray]:
@@ -81,6 +82,16 @@ def gather(blobs: list[bytes], columns: int, hashed: bool = False) -> list[np.nd
     return [np.concatenate([e[i] for e in each]) if each else np.empty(0, k) for i, k in enumerate(kinds)]
 
 
+def dealt(to: np.ndarray, *columns: np.ndarray, hashes: np.ndarray | None = None) -> tuple[list[int], list[bytes]]:
+    """Blobs of entries by where they go, the order within each kept."""
+    order = np.argsort(to, kind="stable")
+    to, columns = to[order], [c[order] for c in columns]
+    hashes = None if hashes is None else hashes[order]
+    cuts = runs(to)
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+    return [int(to[a]) for a, _ in parts], [pack(*[c[a:b] for c in columns], hashes=None if hashes is None else hashes[a:b]) for a, b in parts]
+
+
 def bucket_of_doc(doc: np.ndarray, n: int) -> np.ndarray:
     """A document's row bucket, as pmod(doc_id, n) in SQL; ids in sequence spread evenly."""
     return doc % np.int64(n)

@@ -156,7 +156,7 @@ def window_blocks(docs: DataFrame, length: int, n_ranges: int, n_buckets: int) -
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 rs.append(int(r[a]))
                 blobs.append(pack(doc[a:b], pos[a:b], hashes=h[a:b]))
-            return pa.RecordBatch.from_arrays([pa.array(rs, pa.int32()), pa.array(blobs, pa.binary())], ["r", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(rs, pa.int64()), pa.array(blobs, pa.binary())], ["r", "blob"])
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -171,7 +171,7 @@ def window_blocks(docs: DataFrame, length: int, n_ranges: int, n_buckets: int) -
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "r int, blob binary")
+    return docs.mapInArrow(run, "r long, blob binary")
 
 
 def shared_windows(blocks: DataFrame, n_buckets: int) -> DataFrame:
@@ -235,7 +235,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     small_batches(spark)
     importable(spark)
     rows = texts(docs, id_col, text_col)
-    n_ranges = ranges(spark, rows)
+    n_ranges = ranges(rows)
     n_buckets = 2 * n_ranges + 1
     shared = stored(shared_windows(window_blocks(rows, length, n_ranges, n_buckets), n_buckets), "shared-windows")
     spans = reference_spans(rows, shared, length)

@@ -68,6 +68,50 @@ def test_ngram_join_rows_of_one_id_link_by_themselves(spark):
         assert got == brute.jaccard_components(case)
 
 
+def joined(spark, rows, parts=5):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.per_row(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+
+
+def test_ngram_join_chain_in_few_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(ngram_join, "stored", lambda df, tag, f=ngram_join.stored: (tables.append(tag), f(df, tag))[1])
+    labels = spark.createDataFrame([(i, i) for i in range(400)], "doc_id long, comp long")
+    order = list(range(200))
+    random.Random(2).shuffle(order)
+    for way in (range(200), order):
+        way = list(way)
+        tables.clear()
+        got = {r["doc_id"]: r["comp"] for r in ngram_join.components(labels, spark.createDataFrame(list(zip(way, way[1:], strict=False)), "a long, b long")).collect()}
+        assert got == {i: 0 if i < 200 else i for i in range(400)}
+        assert tables.count("links") < 8 and tables.count("hooks") < 25
+    # each text keeps all but four of the words of the one before
+    rows = [(999 - k, " ".join(f"w{j}" for j in range(4 * k, 4 * k + 60))) for k in range(200)]
+    assert joined(spark, rows) == brute.jaccard_components(rows)
+
+
+def test_ngram_join_templates_and_common_grams(spark, monkeypatch):
+    rng = random.Random(9)
+    fresh = lambda name, n: [f"{name}{rng.randrange(10**9)}" for _ in range(n)]
+    shared, line = fresh("t", 12), fresh("c", 6)
+    rows = [" ".join(fresh("a", 50) + shared + fresh("b", 50)) for _ in range(150)]
+    rows += [" ".join(shared + fresh("s", k)) for k in (0, 1, 2, 3, 5, 8) for _ in range(8)]
+    rows += [" ".join(line * k + fresh("x", j)) for k in (1, 2, 3) for j in range(6) for _ in range(3)]
+    base = fresh("n", 80)
+    for _ in range(60):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            t[rng.randrange(80)] = fresh("e", 1)[0]
+        rows.append(" ".join(t))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute.jaccard_components(rows)
+    assert joined(spark, rows) == want
+    # lists cut into cells, products held in small pieces, no masked rounds before the product of the index
+    for name, value in (("CELL", 7), ("HELD", 64), ("ROUNDS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert joined(spark, rows) == want
+
+
 def test_substring_dedup(case):
     df, rows = case
     got = substring_dedup.digest(substring_dedup.dedup(df)).collect()
