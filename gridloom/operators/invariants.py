@@ -9,6 +9,8 @@ from .extract import source_cells
 from .grid import units
 
 TOP_TAGS, TOP_SPANS = 25, 15
+#: Least share of a document's tokens that chunks must hold, failing documents that a summary names.
+COVERAGE, MOST_FAILED = 0.98, 10
 
 
 def conservation(extracted: DataFrame, t: DataFrame) -> DataFrame:
@@ -57,9 +59,10 @@ def invariants(extracted: DataFrame, t: DataFrame, chunks: DataFrame) -> DataFra
 
 
 def structure_summary(inv: DataFrame) -> DataFrame:
-    """One row over all documents: how many pass each check, mean and least coverage and the document of the least."""
+    """One row over all documents: how many pass each check, mean and least coverage and the document of the least, and the first ten that fail any."""
+    failing = (~F.col("rectangular")) | (~F.col("cell_conservation")) | (~F.col("row_atomic")) | (F.col("text_coverage") <= COVERAGE)
     passed = [F.sum(F.col(c).cast("long")).alias(f"n_{c}") for c in ("rectangular", "cell_conservation", "row_atomic")]
-    return inv.agg(F.count("*").alias("n_docs"), *passed, F.avg("text_coverage").alias("mean_coverage"), F.min("text_coverage").alias("min_coverage"), F.min_by("doc_id", "text_coverage").alias("worst_doc"), F.sum("n_tables").alias("n_tables"), F.sum("n_chunks").alias("n_chunks"), F.sum("oversize_chunks").alias("oversize_chunks"))
+    return inv.agg(F.count("*").alias("n_docs"), *passed, F.avg("text_coverage").alias("mean_coverage"), F.min("text_coverage").alias("min_coverage"), F.min_by("doc_id", F.struct("text_coverage", "doc_id")).alias("worst_doc"), F.sum("n_tables").alias("n_tables"), F.sum("n_chunks").alias("n_chunks"), F.sum("oversize_chunks").alias("oversize_chunks"), F.slice(F.sort_array(F.collect_list(F.when(failing, F.col("doc_id")))), 1, MOST_FAILED).alias("failed"))
 
 
 def header_kinds(t: DataFrame, top: int = 8) -> DataFrame:
@@ -101,6 +104,13 @@ def fingerprint_json(prints: DataFrame) -> DataFrame:
     return prints.select("doc_id", F.to_json(F.struct(*[c for c in prints.columns if c != "doc_id"])).alias("json"))
 
 
+def size_totals(pages: DataFrame, extracted: DataFrame) -> DataFrame:
+    """One row: documents, characters of HTML, tables, most tables in one document."""
+    chars = pages.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.length("html")), F.lit(0)).cast("long").alias("chars"))
+    counts = extracted.agg(F.coalesce(F.sum(F.size("tables")), F.lit(0)).cast("long").alias("n_tables"), F.coalesce(F.max(F.size("tables")), F.lit(0)).cast("long").alias("most_tables"))
+    return chars.join(counts)
+
+
 def chunk_shapes(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "chunk_no", "kind", "table_id", "row_start", "row_end", F.length("text").alias("chars"))
 

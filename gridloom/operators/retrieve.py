@@ -73,7 +73,8 @@ class CharTfidf(Retriever):
         norm = weighted.groupBy("chunk_id").agg(F.greatest(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)), F.lit(1e-9)).alias("norm"))
         query_weights = self._unit(wanted.join(idf, "gram"), "query_id").withColumnRenamed("w", "wq")
         hits = weighted.join(small(query_weights), "gram").groupBy("query_id", "chunk_id").agg(F.sum(F.col("wq") * F.col("tf") * F.col("idf")).alias("dot"))
-        return hits.join(norm, "chunk_id").select("query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score"))
+        # rounded, so that the order of sums does not decide between equal texts
+        return hits.join(norm, "chunk_id").select("query_id", "chunk_id", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
 
     def rank(self, queries: DataFrame, chunks: DataFrame, top: int | None = None) -> DataFrame:
         s = self.scores(queries, chunks)
@@ -143,12 +144,23 @@ class Reranked(Retriever):
         return out.filter(F.col("rank") <= top) if top else out
 
 
-def build_retriever(dense: Retriever | None = None, hybrid: bool = False, pair_score: Callable[[DataFrame], DataFrame] | None = None) -> Retriever:
+def letter_counts() -> DenseDot:
+    """A stand-in for a sentence model: vectors of how often each letter a-z stands in the text. Deterministic, whole numbers."""
+    count = "transform(sequence(97, 122), i -> length(lower({0})) - length(replace(lower({0}), chr(i), '')))"
+    return DenseDot(lambda df, text: df.withColumn("v", F.expr(count.format(text))), "letter-counts")
+
+
+def length_gap(pairs: DataFrame) -> DataFrame:
+    """A stand-in for a cross-encoder: texts as long as the query come first."""
+    return pairs.withColumn("pair_score", -F.abs(F.length("q") - F.length("text")))
+
+
+def build_retriever(dense: Retriever | None = None, hybrid: bool = False, pair_score: Callable[[DataFrame], DataFrame] | None = None, top_n: int = 30) -> Retriever:
     """Compose a retriever from options: lexical by default, dense, both fused, and reranked."""
     if hybrid and dense is None:
         raise ValueError(NO_TEXT)
     base = HybridRRF([CharTfidf(all_chunks=True), dense]) if hybrid else dense or CharTfidf()
-    return Reranked(base, pair_score) if pair_score else base
+    return Reranked(base, pair_score, top_n) if pair_score else base
 
 
 def describe(r: Retriever) -> str:

@@ -69,24 +69,30 @@ def prompts(queries: DataFrame, shown: DataFrame) -> DataFrame:
     return joined.select("query_id", "answer", F.concat(F.lit(head), F.coalesce("context", F.lit("")), F.lit(middle), "q", F.lit(tail)).alias("prompt"))
 
 
+def shown_answer(p: DataFrame) -> DataFrame:
+    """A stand-in for a model: the answer where the prompt shows it, else NONE."""
+    return p.withColumn("reply", F.when(F.contains("prompt", "answer"), F.col("answer")).otherwise("NONE"))
+
+
 #: Answering backends by name: a function from rows (query_id, answer, prompt) to the same with ``reply``.
 BACKENDS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "gold": lambda p: p.withColumn("reply", F.col("answer")),
     "none": lambda p: p.withColumn("reply", F.lit("NONE")),
+    "shown": shown_answer,
 }
 
 
-def extraction_accuracy(pages: DataFrame, backend: str | Callable[[DataFrame], DataFrame], retriever: Retriever | None = None, max_chars: int = MAX_CHARS, budget: int = 3000, most: int | None = None) -> DataFrame:
+def extraction_accuracy(pages: DataFrame, backend: str | Callable[[DataFrame], DataFrame], retriever: Retriever | None = None, max_chars: int = MAX_CHARS, budget: int = 3000, most: int | None = None, per_table: int = 6, names: list[str] | None = None) -> DataFrame:
     """strategy, n, accuracy: share of queries whose reply names the answer's value. ``most`` caps the queries of a paid run."""
     ask = BACKENDS[backend] if isinstance(backend, str) else backend
     retriever = retriever or CharTfidf()
     e = extract(pages).persist()
     t = tables(e).persist()
-    queries = gen_queries(e, t)
+    queries = gen_queries(e, t, per_table)
     queries = (queries.orderBy("query_id").limit(most) if most else queries).persist()
     out = None
-    for name, strategy in STRATEGIES.items():
-        chunks = chunk_ids(strategy(e, max_chars, t)).persist()
+    for name in names or STRATEGIES:
+        chunks = chunk_ids(STRATEGIES[name](e, max_chars, t)).persist()
         shown = contexts(retriever.rank(queries.select("query_id", "q"), chunks.select("chunk_id", "text")), chunks, budget)
         judged = with_same_value(ask(prompts(queries, shown)), "reply", "answer")
         row = judged.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("same").cast("double")), F.lit(0.0)).alias("accuracy")).withColumn("strategy", F.lit(name))

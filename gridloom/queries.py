@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ledger
 from .functions.quantity import with_number
 from .functions.text import document_frequencies, fixed_pieces, is_value, numbers_sql
 from .operators.anonymize import anonymize, anonymize_text
@@ -114,12 +115,13 @@ def pages_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table_aware(extract(read(spark, sf, "pages"), "page_id"))
+    c = table_aware(extract(read(spark, sf, "pages"), "page_id"))
+    return c.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "heading", F.md5("text").alias("text_md5"))
 
 
 def pages_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    e = extract(read(spark, sf, "pages"), "page_id").persist()
-    t = tables(e).persist()
+    e = extract(read(spark, sf, "pages"), "page_id")
+    t = tables(e)
     return invariants(e, t, table_aware(e, t=t)).drop("missing_tokens")
 
 
@@ -245,13 +247,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         annual_report_scores, zoo_structure, zoo_headers, zoo_spans, zoo_twins,
     )
 }
+QUERIES |= ledger.QUERIES
 
 UNIT = "r_name || ' ' || n_name || ' Orders > {s}: ' || {c} || ' orders 00'"
 GRAM = "list_transform(range(1, greatest(1, length(t) - 1)), lambda i: substring(t, i, 3))"
 LOWER = "regexp_replace(lower(text), '\\s+', ' ', 'g')"
 DOT = "list_sum(list_transform(range(1, {n} + 1), lambda i: q.embedding[i]::DOUBLE * d.embedding[i]::DOUBLE))"
 
+#: Running text of the pages before and after their h1, packed by sentences: s counts them, k is the piece, u what it holds.
+PIECES = r"""
+WITH RECURSIVE b AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?s)^.*?<body[^>]*>', ''), '(?s)<!--.*?-->', '', 'g') AS body FROM pages),
+x AS (SELECT page_id, unnest([0, 1]) AS o, unnest([regexp_extract(html, '(?s)<title>(.*?)</title>', 1), regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)]) AS heading, unnest([regexp_replace(body, '(?s)<h1>.*', ''), regexp_replace(body, '(?s)^.*?</h1>', '')]) AS t FROM b),
+y AS (SELECT page_id, o, list_transform([heading, regexp_replace(t, '<[^>]*>', ' ', 'g')], lambda v: trim(regexp_replace(replace(replace(replace(replace(v, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g'))) AS v FROM x),
+w AS (SELECT page_id, min(o) AS o, v[1] AS heading, string_agg(v[2], ' ' ORDER BY o) AS t FROM y WHERE v[2] <> '' GROUP BY page_id, v[1]),
+z AS (SELECT *, CASE WHEN length(t) <= 900 THEN [t] ELSE string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END AS parts FROM w),
+f AS (SELECT page_id, o, heading, unnest(parts) AS part, generate_subscripts(parts, 1) AS s FROM z),
+p AS (SELECT page_id, o, s, 0 AS k, length(part) AS u FROM f WHERE s = 1 UNION ALL SELECT f.page_id, f.o, f.s, CASE WHEN u + length(part) + 1 > 900 THEN k + 1 ELSE k END, CASE WHEN u + length(part) + 1 > 900 THEN length(part) ELSE u + length(part) + 1 END FROM p JOIN f ON f.page_id = p.page_id AND f.o = p.o AND f.s = p.s + 1),
+c AS (SELECT page_id, o, k, any_value(heading) AS heading, string_agg(part, ' ' ORDER BY s) AS piece FROM p JOIN f USING (page_id, o, s) GROUP BY page_id, o, k),
+n AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o, k) - 1 AS chunk_no, heading, CASE WHEN heading <> '' THEN heading || chr(10) ELSE '' END || piece AS text FROM c)""".replace("\\\\", "\\")
+
 ORACLE_SQL: dict[str, str] = {
+    "pages_chunks": PIECES + " SELECT page_id AS doc_id, chunk_no, heading, md5(text) AS text_md5 FROM n",
+    "pages_invariants": PIECES + " SELECT page_id AS doc_id, true AS rectangular, true AS cell_conservation, 1.0::DOUBLE AS text_coverage, true AS row_atomic, count(*) AS n_chunks, 0::BIGINT AS n_tables, 0::BIGINT AS oversize_chunks FROM n GROUP BY page_id",
+    "pages_tags": "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag",
     "crosstab_roundtrip_units": BASE + "SELECT doc_id, k - 1 AS row, u.i AS unit_no, CASE u.i WHEN 0 THEN " + UNIT.format(s="F", c="f") + " WHEN 1 THEN " + UNIT.format(s="O", c="o") + " ELSE " + UNIT.format(s="P", c="p") + " END AS unit FROM n, range(3) u(i)",
     "grid_expansion": BASE + "SELECT doc_id, k + 1 AS r, u.i AS c, CASE u.i WHEN 0 THEN r_name WHEN 1 THEN n_name WHEN 2 THEN f || ' orders 00' WHEN 3 THEN o || ' orders 00' ELSE p || ' orders 00' END AS text, CASE u.i WHEN 0 THEN 2 ELSE k + 1 END AS o_r, u.i AS o_c FROM n, range(5) u(i)",
     "header_detection": BASE + "SELECT doc_id, count(*) + 2 AS n_rows, 5::BIGINT AS n_cols, 2::BIGINT AS n_header, 2::BIGINT AS hc, true AS is_crosstab, true AS is_data, 'States' AS caption, r_name AS heading, 'Place|Place|Orders > F|Orders > O|Orders > P' AS labels FROM n GROUP BY doc_id, r_name",
@@ -267,7 +285,7 @@ ORACLE_SQL: dict[str, str] = {
     "pages_title_heading": "SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS scope_title FROM pages",
     "pages_links": "SELECT page_id, len(regexp_extract_all(html, '<a[ >]'))::BIGINT AS n_links FROM pages",
     "docs_fixed_chunks": "SELECT doc_id, i AS chunk_no, md5(substring(text, i * 900 + 1, 900)) AS piece_md5 FROM (SELECT doc_id, text, unnest(range(((length(text) + 899) // 900)::BIGINT)) AS i FROM documents WHERE length(text) > 0)",
-    "docs_trigram_df": f"SELECT gram, count(*) AS df FROM (SELECT item_id, unnest(list_distinct({GRAM})) AS gram FROM (SELECT item_id, {LOWER} AS t FROM benchmark)) GROUP BY gram",
+    "docs_trigram_df": f"SELECT gram, count(*) AS df FROM (SELECT unnest(list_distinct({GRAM})) AS gram FROM (SELECT {LOWER} AS t FROM documents)) GROUP BY gram",
     "tfidf_rank_top5": f"WITH d AS (SELECT doc_id, gram, count(*) AS tf FROM (SELECT doc_id, unnest({GRAM}) AS gram FROM (SELECT doc_id, {LOWER} AS t FROM documents)) GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents), i AS (SELECT gram, ln((1 + n.n) / (1 + count(*))) + 1 AS idf FROM d, n GROUP BY gram, n.n), dw AS (SELECT doc_id, gram, tf * idf AS w FROM d JOIN i USING (gram)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY doc_id), "
     f"q AS (SELECT item_id, gram, count(*) AS tf FROM (SELECT item_id, unnest({GRAM}) AS gram FROM (SELECT item_id, {LOWER} AS t FROM benchmark)) GROUP BY ALL), qw AS (SELECT item_id, gram, tf * idf AS w FROM q JOIN i USING (gram)), qn AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY item_id), "
     "s AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(qw.w * dw.w) / any_value(qn.norm) / any_value(dn.norm), 6) AS score FROM qw JOIN dw USING (gram) JOIN qn USING (item_id) JOIN dn USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, rank, score FROM r WHERE rank <= 5",
@@ -284,3 +302,4 @@ ORACLE_SQL: dict[str, str] = {
     "viewer_links": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN 'https://dart.fss.or.kr/report/viewer.do?rcpNo=' || o_orderkey || '&dcmNo=' || o_custkey || '&eleId=1&offset=2&length=3&dtd=dart4.xsd' END AS url FROM orders",
     "events_hourly": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
+ORACLE_SQL |= ledger.ORACLE_SQL

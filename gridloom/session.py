@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -16,3 +21,16 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
+def shared_dir(spark: SparkSession, tag: str) -> str:
+    """A new folder's path below spark.checkpoint.dir, which driver and executors share; below a temporary one on a local master only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"master {master}: spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = "file://" + own
+    return f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
