@@ -22,6 +22,7 @@ _GAPS = re.compile(GAPS)
 SENTENCE_END = r"(?U)(?<=[.!?。？！])\s+|(?<=[다요음임함])\.\s+"
 #: Fixed values, as Java patterns: identifiers that only look like values.
 CODE = r"(?U)^[A-Za-z]{1,3}[-_]?\d+$"
+ENDS = r"(?U)^\s+|\s+$"
 DASHED_NUMBER = r"(?U)^\d+(?:-\d+){2,}$"
 NUMBER = r"(\d[\d,]*(?:\.\d+)?)"
 
@@ -61,7 +62,7 @@ def has_digit_sql(x: str) -> str:
 
 def is_value_sql(x: str) -> str:
     """At least two digits that make up at least 30 % of the text, and not an identifier."""
-    t = f"trim({x})"
+    t = f"regexp_replace({x}, {literal(ENDS)}, '')"
     digits = f"length(regexp_replace({t}, {literal('(?U)[^' + chr(92) + 'd]')}, ''))"
     return f"(NOT {t} rlike {literal(CODE)} AND NOT {t} rlike {literal(DASHED_NUMBER)} AND {digits} >= 2 AND {digits} * 10 >= length({t}) * 3)"
 

@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 from .operators.anonymize import anonymize
 from .operators.chunk import chunks_by_strategy, flat, markdown, table_aware
 from .operators.evalset import gen_queries, gold, shuffle_cells
-from .operators.extract import blocks, extract, source_cells
-from .operators.grid import tables, units
+from .operators.extract import blocks, extract, source_cells, table_heads
+from .operators.grid import grid_cells, tables
 from .operators.invariants import chunk_shapes, fingerprint_json, fingerprints, header_kinds, invariants, size_totals, span_kinds, structure_summary, table_shapes, tag_counts, twins
 from .operators.retrieve import Retriever, build_retriever, letter_counts, length_gap, ranked
 from .operators.scoring import score
 from .functions.text import grams
 from .plans.report import chunk_ids, extraction_accuracy, shown_answer
+from .sources.corpus import SEGMENTS, annual_reports, table_zoo
 from .sources.readers import read_html, read_html_lossy, write_files
-from .session import shared_dir
+from .session import shared_dir, stored
 
 MAX = 400
 NOTE = "Balances may change without notice, and amounts in this table are not binding for any party; ask the office before use. Sheet "
@@ -66,29 +67,29 @@ def ledger_strategies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ledger_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    e = extract(ledger_pages(spark, sf))
-    t = tables(e)
+    e = stored(extract(ledger_pages(spark, sf)), "extracted")
+    t = stored(tables(e), "tables")
     return invariants(e, t, table_aware(e, MAX, t)).select("doc_id", "rectangular", "cell_conservation", "text_coverage", F.size("missing_tokens").cast("long").alias("n_missing"), "row_atomic", "n_chunks", "n_tables", "oversize_chunks")
 
 
 def lossy_invariants(spark: SparkSession, sf: str) -> DataFrame:
     """The same checks on chunks cut at fixed width, where rows break: what is lost is named."""
-    e = extract(ledger_pages(spark, sf))
-    t = tables(e)
+    e = stored(extract(ledger_pages(spark, sf)), "extracted")
+    t = stored(tables(e), "tables")
     cut = flat(e, MAX, t).withColumn("table_id", F.lit(0)).filter("chunk_no <> 1")
     return invariants(e, t, cut).select("doc_id", F.round("text_coverage", 9).alias("text_coverage"), F.array_join("missing_tokens", " ").alias("missing"), "row_atomic", "n_chunks")
 
 
 def ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
-    e = extract(ledger_pages(spark, sf))
-    t = tables(e)
+    e = stored(extract(ledger_pages(spark, sf)), "extracted")
+    t = stored(tables(e), "tables")
     return structure_summary(invariants(e, t, table_aware(e, MAX, t))).select("n_docs", "n_rectangular", "n_cell_conservation", "n_row_atomic", "mean_coverage", "min_coverage", "worst_doc", "n_tables", "n_chunks", "oversize_chunks", F.array_join("failed", ",").alias("failed"))
 
 
 def ledger_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """Histograms of headers, shapes and spans in one table."""
-    e = extract(ledger_pages(spark, sf))
-    t = tables(e)
+    e = stored(extract(ledger_pages(spark, sf)), "extracted")
+    t = stored(tables(e), "tables")
     h = header_kinds(t).select(F.lit("header").alias("what"), F.concat_ws("/", "n_header", "hc", F.col("is_crosstab").cast("int")).alias("value"), "n")
     s = table_shapes(t.filter("table_id > 0")).select(F.lit("shape").alias("what"), F.concat_ws("x", "n_rows", "n_cols").alias("value"), "n")
     p = span_kinds(e, 2).select(F.lit("span").alias("what"), F.concat_ws("x", "rowspan", "colspan").alias("value"), "n")
@@ -104,7 +105,7 @@ def ledger_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ledger_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    e = extract(ledger_pages(spark, sf))
+    e = stored(extract(ledger_pages(spark, sf)), "extracted")
     p = fingerprint_json(fingerprints(e, tables(e)))
     at = lambda path: F.get_json_object("json", path)
     return p.select("doc_id", at("$.tags.th").cast("long").alias("th"), at("$.tags.tr").cast("long").alias("tr"), at("$.spans.rs1×cs3").cast("long").alias("wide"), at("$.table_shapes").alias("table_shapes"), at("$.header_shapes").alias("header_shapes"), at("$.nested_tables").cast("long").alias("nested_tables"), at("$.nfd").alias("nfd"), at("$.fullwidth").alias("fullwidth"), at("$.has_th").alias("has_th"), at("$.mso").alias("mso"))
@@ -112,8 +113,8 @@ def ledger_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 def ledger_twins(spark: SparkSession, sf: str) -> DataFrame:
     pages = ledger_pages(spark, sf)
-    e, m = extract(pages), extract(anonymize(pages, b"salt"))
-    t, u = tables(e), tables(m)
+    e, m = (stored(extract(p), "extracted") for p in (pages, anonymize(pages, b"salt")))
+    t, u = (stored(tables(x), "tables") for x in (e, m))
     return twins(fingerprints(e, t), fingerprints(m, u), chunk_shapes(table_aware(e, MAX, t)), chunk_shapes(table_aware(m, MAX, u)))
 
 
@@ -147,10 +148,10 @@ def ledger_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def ledger_gold(spark: SparkSession, sf: str) -> DataFrame:
     """Which chunks of which strategy a query can be answered from, and the fewest other numbers on an answering line."""
-    e = extract(ledger_pages(spark, sf)).persist()
-    t = tables(e)
-    q = gen_queries(e, t, 2)
-    made = chunks_by_strategy(e, MAX)
+    e = stored(extract(ledger_pages(spark, sf)), "extracted")
+    t = stored(tables(e), "tables")
+    q = stored(gen_queries(e, t, 2), "queries")
+    made = stored(chunks_by_strategy(e, MAX), "chunks")
     out = None
     for name in ("stc", "markdown", "flat"):
         g = gold(q, chunk_ids(made.filter(F.col("strategy") == name))).select(F.lit(name).alias("strategy"), "query_id", "chunk_id", F.col("distractors").cast("long").alias("distractors"))
@@ -160,10 +161,10 @@ def ledger_gold(spark: SparkSession, sf: str) -> DataFrame:
 
 def ledger_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The metrics of row-packed chunks, as they are and against shuffled cells."""
-    e = extract(ledger_pages(spark, sf)).persist()
-    t = tables(e)
-    q = gen_queries(e, t, 2).persist()
-    s = score(q, chunk_ids(table_aware(e, MAX, t)), GramOverlap())
+    e = stored(extract(ledger_pages(spark, sf)), "extracted")
+    t = stored(tables(e), "tables")
+    q = stored(gen_queries(e, t, 2), "queries")
+    s = score(q, stored(chunk_ids(table_aware(e, MAX, t)), "chunks"), GramOverlap())
     return s.select(*[F.round(c, 9).alias(c) for c in ("row_destruction", "rec_1200", "rec_3000", "r_1", "r_5", "mrr", "density", "distractors")], "n_chunks", "mean_chars")
 
 
@@ -184,6 +185,34 @@ def reranked_top(spark: SparkSession, sf: str) -> DataFrame:
     return r.rank(q, d, 8).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
+def annual_report_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts of the closed-form reports, as the grid places them under merged segments."""
+    e = extract(annual_reports(spark))
+    g = grid_cells(source_cells(e), table_heads(e)).filter("r >= 2")
+    return longs(g, "r", "c").select("doc_id", "r", "c", "text")
+
+
+def annual_report_destruction(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of generated queries that no chunk of a strategy can answer, on the closed-form reports."""
+    e = stored(extract(annual_reports(spark)), "extracted")
+    t = stored(tables(e), "tables")
+    q = stored(gen_queries(e, t), "queries")
+    made = stored(chunks_by_strategy(e), "chunks")
+    out = None
+    for name in ("flat", "markdown", "stc"):
+        found = gold(q, chunk_ids(made.filter(F.col("strategy") == name))).select("query_id").distinct().withColumn("found", F.lit(1))
+        a = q.join(found, "query_id", "left").agg(F.lit(name).alias("strategy"), F.count("*").alias("n"), F.round(1 - F.count("found") / F.count("*"), 3).alias("row_destruction"))
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+def zoo_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of every document of the mixed corpus, damaged or not."""
+    e = stored(extract(table_zoo(spark, 200)), "extracted")
+    t = stored(tables(e), "tables")
+    return invariants(e, t, table_aware(e, t=t)).select("doc_id", "rectangular", "cell_conservation", "text_coverage", "row_atomic", "oversize_chunks", F.col("n_tables").between(1, 3).alias("one_to_three"))
+
+
 def files_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as files, read again strictly and with bad bytes replaced. A text file ends in a line break."""
     at = shared_dir(spark, "ledger-files")
@@ -198,7 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ledger_blocks, ledger_chunks, ledger_strategies, ledger_invariants, lossy_invariants, ledger_summary, ledger_kinds, ledger_totals, ledger_tags, ledger_fingerprints, ledger_twins,
-        anonymized_ledger, shuffled_cells, ledger_queries, ledger_gold, ledger_scores, ledger_extraction, reranked_top, files_round_trip,
+        anonymized_ledger, shuffled_cells, ledger_queries, ledger_gold, ledger_scores, ledger_extraction, reranked_top, annual_report_cells, annual_report_destruction, zoo_checks, files_round_trip,
     )
 }
 
@@ -309,5 +338,9 @@ ORACLE_SQL: dict[str, str] = {
     f"b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY list_sum(list_transform(range(1, 27), lambda k: ql[k] * dl[k])) DESC, chunk_id) AS rb FROM (SELECT query_id, {LETTERS.format('lower(q)')} AS ql FROM q), (SELECT chunk_id, {LETTERS.format('lower(text)')} AS dl FROM d)), "
     "f AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (60 + ra) + 1.0::DOUBLE / (60 + rb) DESC, chunk_id) AS was FROM a JOIN b USING (query_id, chunk_id)), h AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(length(q.q) - length(text)), was) AS rank FROM f JOIN q USING (query_id) JOIN d USING (chunk_id) WHERE was <= 5) "
     "SELECT query_id, chunk_id, rank FROM h UNION ALL SELECT query_id, chunk_id, was FROM f WHERE was BETWEEN 6 AND 8",
+    "annual_report_cells": "SELECT d AS doc_id, i + 2 AS r, u.c AS c, CASE u.c WHEN 0 THEN ([SEGS])[(i // 3) % 8 + 1] WHEN 1 THEN format('{:,}', 1000 + d * 911 + i * 37) WHEN 2 THEN format('{:,}', 900 + d * 733 + i * 23) ELSE ((i * 7 + d) % 40 - 10) || '.' || ((i + d) % 10) || '%' END AS text FROM range(12) x(d), range(60) y(i), range(4) u(c)".replace("SEGS", ", ".join(f"'{x}'" for x in SEGMENTS)),
+    # published for these reports, whatever ranks
+    "annual_report_destruction": "SELECT * FROM (VALUES ('flat', 72::BIGINT, 1.0::DOUBLE), ('markdown', 72, 0.667), ('stc', 72, 0.0)) v(strategy, n, row_destruction)",
+    "zoo_checks": "SELECT range AS doc_id, true AS rectangular, true AS cell_conservation, 1.0::DOUBLE AS text_coverage, true AS row_atomic, 0::BIGINT AS oversize_chunks, true AS one_to_three FROM range(200)",
     "files_round_trip": f"WITH {PAGES} SELECT d::BIGINT AS doc_id, md5(html || {NL}) AS strict_md5, md5(html || {NL}) AS lossy_md5 FROM ht",
 }

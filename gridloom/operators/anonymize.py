@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -19,59 +21,56 @@ from ..sources.htmltree import parse_tree, serialize
 TEXT_ATTRIBUTES = ("alt", "title", "placeholder", "aria-label", "summary", "value")
 ADDRESS_ATTRIBUTES = ("href", "src", "action", "data-src")
 SYLLABLES = "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후"
+DIGITS = "0123456789"
 #: Leading, middle and trailing jamo, and compatibility jamo.
 JAMO = ((0x1100, 0x1112), (0x1161, 0x1175), (0x11A8, 0x11C2), (0x3131, 0x318E))
-#: Pools of replacement characters: first and number.
-DIGITS, WIDE_DIGITS, LOWER, UPPER = (48, 10), (0xFF10, 10), (97, 26), (65, 26)
-
-
-def pool(ch: str) -> tuple[int, int] | str | None:
-    """What a character may be replaced by; full-width digits stay full-width."""
-    if "０" <= ch <= "９":
-        return WIDE_DIGITS
-    if ch.isdigit():
-        return DIGITS
-    if "가" <= ch <= "힣":
-        return SYLLABLES
-    if ch.isascii() and ch.isalpha():
-        return UPPER if ch.isupper() else LOWER
-    for lo, hi in JAMO:
-        if lo <= ord(ch) <= hi:
-            return lo, hi - lo + 1
-    return SYLLABLES if unicodedata.category(ch) == "Lo" else None
+#: Classes of characters with what replaces them, by the first that fits: full-width digits stay full-width, other scripts' digits become ASCII.
+POOLS: tuple[tuple[re.Pattern, str], ...] = (
+    (re.compile("[０-９]"), "０１２３４５６７８９"),
+    (re.compile(r"\d"), DIGITS),
+    (re.compile("[가-힣]"), SYLLABLES),
+    (re.compile("[a-z]"), "abcdefghijklmnopqrstuvwxyz"),
+    (re.compile("[A-Z]"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    *((re.compile(f"[{chr(lo)}-{chr(hi)}]"), "".join(map(chr, range(lo, hi + 1)))) for lo, hi in JAMO),
+)
 
 
+@lru_cache(1 << 16)
+def pool(ch: str) -> str | None:
+    """What a character may be replaced by; letters of other scripts without case by syllables."""
+    known = next((p for kind, p in POOLS if kind.match(ch)), None)
+    return known or (DIGITS if ch.isdigit() else SYLLABLES if unicodedata.category(ch) == "Lo" else None)
+
+
+@lru_cache(1 << 17)
 def masked_word(word: str, salt: bytes) -> str:
     """The same word always gives the same replacement, under one salt."""
     stream = hashlib.shake_128(salt + word.encode("utf-8", "surrogatepass")).digest(len(word))
     out = []
     for ch, k in zip(word, stream, strict=True):
         p = pool(ch)
-        out.append(ch if p is None else p[k % len(p)] if isinstance(p, str) else chr(p[0] + k % p[1]))
+        out.append(p[k % len(p)] if p else ch)
     return "".join(out)
 
 
 def masked(text: str, salt: bytes) -> str:
-    import re
-
     return re.sub(r"\S+", lambda m: masked_word(m[0], salt), text)
 
 
 def masked_html(html: str, salt: bytes, keep: frozenset[str] = frozenset()) -> str:
+    """The tree with its texts and attributes masked. Comments and what scripts and styles hold go; texts in ``keep`` stay."""
     root = parse_tree(html)
-    for n in list(root.walk()):
+
+    def text(n) -> None:
+        silent = n.parent is not None and n.parent.name in ("script", "style")
+        n.text = "" if silent else n.text if n.text.strip() in keep else masked(n.text, salt)
+
+    def element(n) -> None:
+        n.attrs.update({a: masked(n.attrs[a], salt) for a in TEXT_ATTRIBUTES if a in n.attrs} | {a: "#" for a in ADDRESS_ATTRIBUTES if a in n.attrs})
         n.children = [c for c in n.children if c.name != "#comment"]
-        if n.name == "#text":
-            if n.parent is not None and n.parent.name in ("script", "style"):
-                n.text = ""
-            elif n.text.strip() and n.text.strip() not in keep:
-                n.text = masked(n.text, salt)
-        for a in TEXT_ATTRIBUTES:
-            if a in n.attrs:
-                n.attrs[a] = masked(n.attrs[a], salt)
-        for a in ADDRESS_ATTRIBUTES:
-            if a in n.attrs:
-                n.attrs[a] = "#"
+
+    for n in list(root.walk()):
+        {"#text": text}.get(n.name, element)(n)
     return serialize(root)
 
 

@@ -17,8 +17,8 @@ from ..sources.htmltree import HEADINGS, Node, body_of, parse_tree
 
 #: Subtrees that hold no reading text.
 SKIP = frozenset(("script", "style", "noscript", "head", "svg", "template"))
-#: Limits of spans, as HTML has them; an explicit bound on what one cell may expand to.
-MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+#: Limits of spans (across, down) that HTML names for browsers; an option, as cells count with whatever they claim.
+HTML_SPANS = (1000, 65534)
 
 SCHEMA = (
     "doc_id long, title string, scope_title string, mso boolean, flat_text string, body_text string, body_chars long, body_nfd boolean, body_fullwidth boolean, outside_text string, tags array<string>, raw_spans array<string>, "
@@ -28,12 +28,13 @@ SCHEMA = (
 )
 
 
-def span(node: Node, name: str, most: int) -> int:
+def span(node: Node, name: str, most: int | None) -> int:
     """A span attribute as a number of at least 1; anything unreadable is 1."""
     try:
-        return min(most, max(1, int(node.attrs.get(name, "1").strip())))
+        found = max(1, int(node.attrs.get(name, "1").strip()))
     except ValueError:
         return 1
+    return found if most is None else min(most, found)
 
 
 def own_rows(table: Node) -> list[list[Node]]:
@@ -42,21 +43,24 @@ def own_rows(table: Node) -> list[list[Node]]:
     return [[c for c in row.walk() if c.name in ("td", "th") and c.ancestor("table") is table and c.ancestor("tr") is row] for row in rows]
 
 
-def placed(table: Node) -> tuple[list[tuple], int, int]:
+def placed(table: Node, max_spans: tuple[int, int] | None = None) -> tuple[list[tuple], int, int]:
     """Source cells with the row and column each is placed at, and the size of the grid they cover.
 
-    A cell goes to the first column of its row that no earlier cell covers; whatever its spans cover is then taken.
+    A cell goes to the first column of its row that no earlier cell covers. Earlier cells begin in this row or above, so that for
+    each column the first row below all of them is enough to know.
     """
-    taken: set[tuple[int, int]] = set()
+    free: dict[int, int] = {}
+    across_most, down_most = max_spans or (None, None)
     out, n_rows, n_cols = [], 0, 0
     for r, row in enumerate(own_rows(table)):
         c = 0
         for cell in row:
-            while (r, c) in taken:
+            while free.get(c, 0) > r:
                 c += 1
-            down, across = span(cell, "rowspan", MAX_ROWSPAN), span(cell, "colspan", MAX_COLSPAN)
+            down, across = span(cell, "rowspan", down_most), span(cell, "colspan", across_most)
             out.append((len(out), r, cell.name == "th", down, across, r, c, tidy(cell.joined())))
-            taken.update((y, x) for y in range(r, r + down) for x in range(c, c + across))
+            for x in range(c, c + across):
+                free[x] = max(free.get(x, 0), r + down)
             n_rows, n_cols = max(n_rows, r + down), max(n_cols, c + across)
             c += across
     return out, n_rows, n_cols
@@ -85,7 +89,7 @@ def reading_blocks(body: Node, title: str) -> Iterator[tuple[str, str, str, Node
             todo.append(iter(child.children))
 
 
-def document(doc_id: int | None, html: str | None) -> dict:
+def document(doc_id: int | None, html: str | None, max_spans: tuple[int, int] | None = None) -> dict:
     """What one document's HTML holds."""
     import re
     import unicodedata
@@ -101,7 +105,7 @@ def document(doc_id: int | None, html: str | None) -> dict:
         no, tid = len(blocks), -1
         if node is not None:
             tid = len(tables)
-            own, n_rows, n_cols = placed(node)
+            own, n_rows, n_cols = placed(node, max_spans)
             caption = next((n for n in node.walk() if n.name == "caption" and n.ancestor("table") is node), None)
             nested = sum(1 for n in node.walk() if n.name == "table") - 1
             tables.append({"table_id": tid, "block_no": no, "heading": heading, "caption": tidy(caption.joined()) if caption else "", "n_rows": n_rows, "n_cols": n_cols, "n_src": len(own), "n_nested": nested})
@@ -118,8 +122,11 @@ def document(doc_id: int | None, html: str | None) -> dict:
     }
 
 
-def extract(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
-    """One row a document, columns SCHEMA. Only id and HTML cross into Python; a null document is an empty one."""
+def extract(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html", max_spans: tuple[int, int] | None = None) -> DataFrame:
+    """One row a document, columns SCHEMA. Only id and HTML cross into Python; a null document is an empty one.
+
+    ``max_spans``, such as HTML_SPANS, bounds what one cell may expand to; without it a cell takes all that it claims.
+    """
     spark = pages.sparkSession
     importable(spark)
     schema = spark.createDataFrame([], SCHEMA).schema
@@ -129,7 +136,7 @@ def extract(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") ->
 
         kind = to_arrow_schema(schema)
         for b in batches:
-            rows = [document(i, h) for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            rows = [document(i, h, max_spans) for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, kind)
 
     narrow = pages.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{html_col}`").cast("string").alias("html"))

@@ -73,7 +73,6 @@ def classified(t: DataFrame) -> DataFrame:
     t = t.withColumn("_n", F.expr("CASE WHEN size(grid) = 0 THEN 0 WHEN _th THEN _lead WHEN n_cols = 2 OR _plain = 0 AND _top[0] = 2 THEN -1 ELSE greatest(_plain, 1) END"))
     for _ in range(2):  # from 1 row to at most 3
         t = t.withColumn("_n", F.expr(f"CASE WHEN NOT _th AND _n > 0 AND _n < {MAX_HEADER} AND _n < size(grid) - 1 AND {merged_sql('grid[_n - 1]', '_n - 1')} THEN _n + 1 ELSE _n END"))
-        t = t.withColumn("_n", F.col("_n"))
     t = t.withColumn("n_header", F.expr("least(greatest(_n, 0), greatest(size(grid) - 1, 0))"))
     t = t.withColumn("_body", F.expr("slice(grid, n_header + 1, size(grid))"))
     label = "array_join(array_distinct(filter(transform(slice(grid, 1, n_header), row -> row[c].text), x -> x <> '')), ' > ')"

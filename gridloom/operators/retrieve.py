@@ -171,11 +171,15 @@ def describe(r: Retriever) -> str:
     return r.name
 
 
+def with_used(ranks: DataFrame, lengths: DataFrame) -> DataFrame:
+    """query_id, chunk_id, rank, used: characters of a ranking's chunks down to each rank. ``lengths``: chunk_id, len."""
+    order = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    return ranks.join(lengths, "chunk_id").withColumn("used", F.sum("len").over(order)).select("query_id", "chunk_id", "rank", "used")
+
+
 def within_budget(ranks: DataFrame, lengths: DataFrame, budget: int) -> DataFrame:
     """query_id, chunk_id, rank, used: the prefix of each ranking that a budget of characters holds; the first always fits.
 
-    ``lengths``: chunk_id, len. Lengths are positive, so running sums grow and the prefix ends where one passes the budget.
+    Lengths are positive, so running sums grow and the prefix ends where one passes the budget.
     """
-    order = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    run = ranks.join(lengths, "chunk_id").withColumn("used", F.sum("len").over(order))
-    return run.filter((F.col("used") <= budget) | (F.col("rank") == 1)).select("query_id", "chunk_id", "rank", "used")
+    return with_used(ranks, lengths).filter((F.col("used") <= budget) | (F.col("rank") == 1))

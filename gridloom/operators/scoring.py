@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .evalset import gold
-from .retrieve import Retriever, within_budget
+from .retrieve import Retriever, with_used
 
 BUDGETS, KS = (1200, 3000), (1, 5)
 
@@ -17,16 +18,14 @@ def score(queries: DataFrame, chunks: DataFrame, retriever: Retriever, budgets:
     Every share is of all queries, those that no chunk can answer included. Density is the answer row's length
     over what the first budget used, where it hit. ``chunks``: chunk_id, chunk_no, text.
     """
-    g = (gold(queries, chunks) if found is None else found).persist()  # read once by each metric
-    ranks = retriever.rank(queries.select("query_id", "q"), chunks.select("chunk_id", "text")).persist()
-    at = ranks.join(g, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
-    per_query = queries.select("query_id", "row_chars").join(g.groupBy("query_id").agg(F.min_by("distractors", F.when(F.col("distractors").isNotNull(), F.col("chunk_no"))).alias("distractors"), F.lit(True).alias("has_gold")), "query_id", "left").join(at, "query_id", "left")
-    lengths = chunks.select("chunk_id", F.length("text").alias("len"))
-    for b in budgets:
-        inside = within_budget(ranks, lengths, b)
-        hit = inside.join(g.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.lit(1).alias(f"hit_{b}"))
-        used = inside.groupBy("query_id").agg(F.max("used").alias(f"used_{b}"))
-        per_query = per_query.join(hit, "query_id", "left").join(used, "query_id", "left")
+    g = stored(gold(queries, chunks), "gold") if found is None else found
+    ranks = retriever.rank(queries.select("query_id", "q"), chunks.select("chunk_id", "text"))
+    run = with_used(ranks, chunks.select("chunk_id", F.length("text").alias("len"))).join(g.select("query_id", "chunk_id", F.lit(1).alias("gold")), ["query_id", "chunk_id"], "left")
+    inside = {b: (F.col("used") <= b) | (F.col("rank") == 1) for b in budgets}
+    hits = [F.max(F.when(inside[b], F.col("gold"))).alias(f"hit_{b}") for b in budgets] + [F.max(F.when(inside[b], F.col("used"))).alias(f"used_{b}") for b in budgets]
+    at = run.groupBy("query_id").agg(F.min(F.when(F.col("gold") == 1, F.col("rank"))).alias("first"), *hits)
+    own = g.groupBy("query_id").agg(F.min_by("distractors", F.when(F.col("distractors").isNotNull(), F.col("chunk_no"))).alias("distractors"), F.lit(True).alias("has_gold"))
+    per_query = queries.select("query_id", "row_chars").join(own, "query_id", "left").join(at, "query_id", "left")
     n = F.greatest(F.lit(1), F.count("*"))
     share = lambda c: (F.sum(F.coalesce(c, F.lit(0))) / n)
     out = per_query.agg(

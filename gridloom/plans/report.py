@@ -15,6 +15,7 @@ from ..operators.grid import tables
 from ..operators.invariants import header_kinds, invariants, span_kinds, structure_summary, table_shapes
 from ..operators.retrieve import CharTfidf, Retriever, within_budget
 from ..operators.scoring import score
+from ..session import stored
 
 PROMPT = "다음 자료만 보고 답하라. 값만 쓰고, 없으면 NONE 이라고 쓴다.\n\n{context}\n\n질문: {q}\n답:"
 REACTS, FLOOR = 0.05, 0.05
@@ -26,8 +27,8 @@ def chunk_ids(chunks: DataFrame) -> DataFrame:
 
 def structure_report(pages: DataFrame, max_chars: int = MAX_CHARS) -> dict[str, DataFrame]:
     """Checks that need no labels, summed up without any text of the documents."""
-    e = extract(pages).persist()
-    t = tables(e).persist()
+    e = stored(extract(pages), "extracted")
+    t = stored(tables(e), "tables")
     inv = invariants(e, t, STRATEGIES["stc"](e, max_chars, t))
     return {"per_document": inv, "summary": structure_summary(inv), "headers": header_kinds(t), "shapes": table_shapes(t), "spans": span_kinds(e)}
 
@@ -38,16 +39,16 @@ def retrieval_report(pages: DataFrame, retriever: Retriever | None = None, max_c
     The retriever is fitted on each strategy's own chunks. Queries always come from the documents as they are.
     """
     retriever = retriever or CharTfidf()
-    e = extract(pages).persist()
-    t = tables(e).persist()
-    queries = gen_queries(e, t, per_table).persist()
+    e = stored(extract(pages), "extracted")
+    t = stored(tables(e), "tables")
+    queries = stored(gen_queries(e, t, per_table), "queries")
     mixed = shuffle_cells(e)
-    mixed_tables = tables(mixed).persist()
+    mixed_tables = stored(tables(mixed), "tables")
     out = None
     for name in names or STRATEGIES:
-        own = chunk_ids(STRATEGIES[name](e, max_chars, t)).persist()
-        control = chunk_ids(STRATEGIES[name](mixed, max_chars, mixed_tables)).persist()
-        row = score(queries, own, retriever).join(F.broadcast(score(queries, control, retriever).select(F.col("mrr").alias("mrr_shuffled"))))
+        own = stored(chunk_ids(STRATEGIES[name](e, max_chars, t)), "chunks")
+        control = stored(chunk_ids(STRATEGIES[name](mixed, max_chars, mixed_tables)), "chunks")
+        row = score(queries, own, retriever).join(score(queries, control, retriever).select(F.col("mrr").alias("mrr_shuffled")))
         row = row.withColumn("strategy", F.lit(name))
         out = row if out is None else out.unionByName(row)
     delta = F.col("mrr") - F.col("mrr_shuffled")
@@ -86,13 +87,13 @@ def extraction_accuracy(pages: DataFrame, backend: str | Callable[[DataFrame], D
     """strategy, n, accuracy: share of queries whose reply names the answer's value. ``most`` caps the queries of a paid run."""
     ask = BACKENDS[backend] if isinstance(backend, str) else backend
     retriever = retriever or CharTfidf()
-    e = extract(pages).persist()
-    t = tables(e).persist()
+    e = stored(extract(pages), "extracted")
+    t = stored(tables(e), "tables")
     queries = gen_queries(e, t, per_table)
-    queries = (queries.orderBy("query_id").limit(most) if most else queries).persist()
+    queries = stored(queries.orderBy("query_id").limit(most) if most else queries, "queries")
     out = None
     for name in names or STRATEGIES:
-        chunks = chunk_ids(STRATEGIES[name](e, max_chars, t)).persist()
+        chunks = stored(chunk_ids(STRATEGIES[name](e, max_chars, t)), "chunks")
         shown = contexts(retriever.rank(queries.select("query_id", "q"), chunks.select("chunk_id", "text")), chunks, budget)
         judged = with_same_value(ask(prompts(queries, shown)), "reply", "answer")
         row = judged.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("same").cast("double")), F.lit(0.0)).alias("accuracy")).withColumn("strategy", F.lit(name))

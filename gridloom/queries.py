@@ -23,6 +23,7 @@ from .operators.grid import grid_cells, row_kv, source_cells, table_heads, table
 from .operators.invariants import chunk_shapes, conservation, fingerprints, header_kinds, invariants, missing_tokens, span_kinds, structure_summary, tag_counts, twins
 from .operators.retrieve import CharTfidf, dense_scores, fuse, ranked, within_budget
 from .plans.report import retrieval_report
+from .session import stored
 from .sources.corpus import annual_reports, table_zoo
 from .sources.readers import decoded, listed_receipts, viewer_urls
 from .streaming.pages import event_windows
@@ -120,8 +121,8 @@ def pages_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    e = extract(read(spark, sf, "pages"), "page_id")
-    t = tables(e)
+    e = stored(extract(read(spark, sf, "pages"), "page_id"), "extracted")
+    t = stored(tables(e), "tables")
     return invariants(e, t, table_aware(e, t=t)).drop("missing_tokens")
 
 
@@ -218,8 +219,8 @@ def annual_report_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zoo_structure(spark: SparkSession, sf: str) -> DataFrame:
-    e = extract(table_zoo(spark, 200)).persist()
-    t = tables(e).persist()
+    e = stored(extract(table_zoo(spark, 200)), "extracted")
+    t = stored(tables(e), "tables")
     return structure_summary(invariants(e, t, table_aware(e, t=t)))
 
 
@@ -233,8 +234,8 @@ def zoo_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def zoo_twins(spark: SparkSession, sf: str) -> DataFrame:
     z = table_zoo(spark, 100)
-    e, m = extract(z).persist(), extract(anonymize(z, b"salt")).persist()
-    t, u = tables(e).persist(), tables(m).persist()
+    e, m = (stored(extract(p), "extracted") for p in (z, anonymize(z, b"salt")))
+    t, u = (stored(tables(x), "tables") for x in (e, m))
     return twins(fingerprints(e, t), fingerprints(m, u), chunk_shapes(table_aware(e, t=t)), chunk_shapes(table_aware(m, t=u)))
 
 
@@ -267,6 +268,7 @@ c AS (SELECT page_id, o, k, any_value(heading) AS heading, string_agg(part, ' '
 n AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o, k) - 1 AS chunk_no, heading, CASE WHEN heading <> '' THEN heading || chr(10) ELSE '' END || piece AS text FROM c)""".replace("\\\\", "\\")
 
 ORACLE_SQL: dict[str, str] = {
+    "zoo_twins": "SELECT range AS doc_id, true AS same FROM range(100)",
     "pages_chunks": PIECES + " SELECT page_id AS doc_id, chunk_no, heading, md5(text) AS text_md5 FROM n",
     "pages_invariants": PIECES + " SELECT page_id AS doc_id, true AS rectangular, true AS cell_conservation, 1.0::DOUBLE AS text_coverage, true AS row_atomic, count(*) AS n_chunks, 0::BIGINT AS n_tables, 0::BIGINT AS oversize_chunks FROM n GROUP BY page_id",
     "pages_tags": "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag",

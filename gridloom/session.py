@@ -10,8 +10,10 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Temporary folder of this process, by master.
+_own: dict[str, str] = {}
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -26,11 +28,20 @@ def importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder's path below spark.checkpoint.dir, which driver and executors share; below a temporary one on a local master only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext.master in _own:
+        at = _own[spark.sparkContext.master]
     if not at:
         master = spark.sparkContext.master
         if not re.fullmatch(r"local(\[[^\]]*\])?", master):
             raise ValueError(f"master {master}: spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = "file://" + own
+        at = _own[master] = "file://" + own
     return f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Write to the shared folder and read again: lineage ends there, and what several plans read is made once."""
+    path = shared_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

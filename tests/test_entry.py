@@ -10,7 +10,7 @@ import pytest
 from gridloom import queries as core
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["crosstab_roundtrip_units", "grid_expansion", "header_detection", "row_kv_list", "pages_title_heading", "docs_fixed_chunks", "dense_rank_top5", "budget_prefix", "doc_numbers", "normalize_quantity", "anonymized_signature"]
+QUICK = ["crosstab_roundtrip_units", "grid_expansion", "header_detection", "row_kv_list", "pages_title_heading", "docs_fixed_chunks", "dense_rank_top5", "budget_prefix", "doc_numbers", "normalize_quantity", "anonymized_signature", "ledger_blocks", "ledger_chunks", "ledger_strategies", "ledger_gold", "ledger_scores", "shuffled_cells", "reranked_top", "pages_chunks"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 

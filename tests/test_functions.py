@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from gridloom import queries
 from gridloom.functions import quantity, text
 from gridloom.operators.anonymize import masked
+from gridloom.operators.evalset import distractors, recoverable
 from gridloom.operators.retrieve import CharTfidf, HybridRRF, Reranked, build_retriever, fuse, within_budget
-from gridloom.sources.readers import decoded
+from gridloom.operators.scoring import score
+from gridloom.plans.report import contexts, extraction_accuracy
+from gridloom.sources.readers import crawl, decoded, write_json, write_pages
 
+#: Quantities and what they are.
 NUMBERS = [
     ("55,000", 55000.0), ("연간 55,000원", 55000.0), ("-8.1%", -8.1), ("△380", -380.0), ("▲1,200", -1200.0), ("４,３２０", 4320.0), ("５．１％", 5.1),
     ("-", None), ("해당없음", None), ("전 제휴 서비스/기관", None), ("", None), (None, None), ("3.5억", 3.5e8), ("12조", 12e12), ("2천만", 2e7), ("1억 2천만", 1.2e8),
@@ -72,6 +76,13 @@ def test_fusion(spark):
     ranks = lambda order: spark.createDataFrame([(0, d, k + 1) for k, d in enumerate(order)], "query_id long, chunk_id long, rank long")
     got = [r["chunk_id"] for r in fuse([ranks(range(10)), ranks([9, 1, 8, 7, 6, 5, 4, 3, 2, 0])]).orderBy("rank").collect()]
     assert got[0] == 1 and sorted(got) == list(range(10))
+    same = [r["chunk_id"] for r in fuse([ranks(range(10)), ranks(range(10))]).orderBy("rank").collect()]
+    assert same == list(range(10))
+    # ranks saturate: first in one and 500th in the other is better than 51st in both
+    rest = list(range(2, 600))
+    far = fuse([ranks([0, *rest[:49], 1, *rest[49:]]), ranks([*rest[:50], 1, *rest[50:498], 0, *rest[498:]])])
+    at = {r["chunk_id"]: r["rank"] for r in far.collect()}
+    assert at[0] < at[1]
 
 
 def test_retrieval(spark):
@@ -91,3 +102,63 @@ def test_budget(spark):
     lengths = spark.createDataFrame([(1, 50), (2, 40), (3, 30)], "chunk_id long, len int")
     assert [r["chunk_id"] for r in within_budget(ranks, lengths, 95).orderBy("rank").collect()] == [1, 2]
     assert [r["chunk_id"] for r in within_budget(ranks, lengths, 10).collect()] == [1]
+
+
+HELD = [
+    # text, label, answer, keys, recoverable, distractors
+    ("부문: 반도체, 매출: 200, 비중: 7%", "매출", "200", ["반도체"], True, 2),  # a number takes the comma behind it along: "200," is another than "200"
+    ("부문: 반도체, 매출: 100\n부문: 전지, 매출: 200", "매출", "200", ["반도체"], False, None),
+    ("전용 이용료 가온 > 법인: 연간 55,000원", "가온 > 법인", "연간 55,000원", ["전용", "이용료"], True, 0),
+    ("매출 200 반도체 부문", "매출", "200", ["반도체"], False, 0),
+    ("| 부문 | 매출 |\n| --- | --- |\n| 반도체 | 200 |", "매출", "200", ["반도체"], True, 0),
+    ("| 부문 | 매출 |\n| --- | --- |\n| 반도체 | 300 |\n| 전지 | 200 |", "매출", "200", ["반도체"], False, None),
+    ("| 반도체 | 200 |\n| 전지 | 300 |", "매출", "200", ["반도체"], False, 0),
+    ("a (b): 1.5 \\E", "a (b)", "1.5", [], True, 0),
+    ("a\\Eb: 1", "a\\Eb", "1", [], True, 0),
+    ("", "a", "1", [], False, None),
+]
+
+
+def test_recoverable_and_distractors(spark):
+    df = spark.createDataFrame(HELD, "text string, label string, answer string, keys array<string>, want boolean, n int")
+    for r in df.select("*", recoverable().alias("got"), distractors().alias("d")).collect():
+        assert (r["got"], r["d"]) == (r["want"], r["n"]), r
+
+
+def test_score_and_contexts(spark):
+    asked = spark.createDataFrame([(1, "q one", ["k"], "a", "10", 20), (2, "q two", ["z"], "a", "77", 10)], "query_id long, q string, keys array<string>, label string, answer string, row_chars int")
+    chunks = spark.createDataFrame([("c1", 0, "nothing here", ""), ("c2", 1, "k a: 10, b: 3", "shown"), ("c3", 2, "k a: 10", "")], "chunk_id string, chunk_no int, text string, context string")
+
+    class Fixed(CharTfidf):
+        def rank(self, queries, chunks, top=None):
+            return queries.select("query_id").crossJoin(spark.createDataFrame([("c1", 1), ("c2", 2), ("c3", 3)], "chunk_id string, rank int"))
+
+    s = score(asked, chunks, Fixed(), budgets=(20, 100)).first()
+    assert (s["row_destruction"], s["r_1"], s["r_5"], s["mrr"], s["rec_20"], s["rec_100"], s["distractors"], s["n_chunks"]) == (0.5, 0.0, 0.5, 0.25, 0.0, 0.5, 2.0, 3)
+    assert s["density"] == 0.0
+    shown = {r["query_id"]: r["context"] for r in contexts(Fixed().rank(asked, chunks), chunks, 17).collect()}
+    assert shown == {1: "nothing here\n\nshown", 2: "nothing here\n\nshown"}
+
+
+def test_extraction_by_backend(spark):
+    html = "<h1>요금</h1><table><tr><th>상품<th>가격<tr><td>가<td>1,000원<tr><td>나<td>2,000원<tr><td>다<td>3,000원</table>"
+    pages = spark.createDataFrame([(1, html)], "doc_id long, html string")
+    wrong = lambda p: p.withColumn("reply", F.lit("연간 3,300원"))
+    got = {name: {r["strategy"]: r["accuracy"] for r in extraction_accuracy(pages, ask).collect()} for name, ask in (("gold", "gold"), ("wrong", wrong), ("shown", "shown"))}
+    assert set(got["gold"].values()) == {1.0} and set(got["wrong"].values()) == {0.0} and got["shown"]["stc"] == 1.0
+
+
+def test_crawl_and_sinks(spark, tmp_path):
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        if url == "b":
+            raise OSError("gone")
+        return url.encode()
+
+    assert crawl(["a", "b", "c", "d"], fetch, most=3, wait=0) == [("a", b"a"), ("c", b"c")] and asked == ["a", "b", "c"]
+    pages = spark.createDataFrame([(7, "<p>x</p>")], "doc_id long, html string")
+    write_pages(pages, str(tmp_path / "p"))
+    write_json(pages, str(tmp_path / "j"))
+    assert spark.read.parquet(str(tmp_path / "p")).collect() == pages.collect() and spark.read.json(str(tmp_path / "j")).select("doc_id", "html").collect() == pages.collect()

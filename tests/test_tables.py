@@ -3,9 +3,9 @@
 import pytest
 
 from gridloom.operators.chunk import chunks_by_strategy, table_aware
-from gridloom.operators.extract import extract
+from gridloom.operators.extract import HTML_SPANS, document, extract
 from gridloom.operators.grid import row_kv, tables, units
-from gridloom.operators.invariants import invariants
+from gridloom.operators.invariants import conservation, invariants
 from gridloom.sources.htmltree import parse_tree, serialize
 
 NOTE = "※ 요금제 선택을 변경하려면 해지 후 다시 가입하여야 하며 이 경우 기존에 제공된 혜택은 모두 소멸되고 위약금이 부과될 수 있으니 유의하시기 바랍니다."
@@ -14,6 +14,7 @@ CROSSTAB = (
     "<tr><td rowspan=2>표준<td>이용료<td>연간 3,300원<td>연간 88,000원<td>연간 3,300원<td>연간 92,400원</tr><tr><td>이용범위<td colspan=2>전 제휴<td colspan=2>전 기관</tr>"
     "<tr><td rowspan=2>전용<td>이용료<td>-<td>연간 55,000원<td>-<td>연간 3,300원</tr><tr><td>이용범위<td colspan=2>전 계열사<td colspan=2>전 은행</tr></table>"
 )
+#: Golden tables, of which the expected grids, labels and lines below are known.
 PAGES = {
     "rowspan": "<table><tr><th>부문<th>매출<tr><td rowspan=3>반도체<td>100<tr><td>200<tr><td>300</table>",
     "colspan": "<table><tr><th>구분<th>상반기<th>하반기<tr><td>비고<td colspan=2>해당없음</table>",
@@ -32,6 +33,14 @@ PAGES = {
     "titled": "<html><head><title>문서 제목</title></head><body><table><tr><th>가<th>나<tr><td>1<td>2</table></body></html>",
     "broken": "<p>앞<table><tr><td>가<td rowspan=0>나<tr><td>다<td><table><tr><td>안쪽1<td>안쪽2</table><tr><td colspan=9>라</table>",
     "codes": "<table><tr><th>코드<th>이름<th>종류<th>금리<tr><td>A0001<td>가<td>예금<td>1.827%<tr><td>A0002<td>나<td>적금<td>2.110%</table>",
+    "stairs": "<table><tr><th>대분류<th>중분류<th>세부<th>예산<tr><td rowspan=4>첨단소재<td rowspan=2>반도체<td>메모리<td>3,890<tr><td>화합물<td>2,140<tr><td rowspan=2>이차전지<td>전고체<td>2,780<tr><td>리튬메탈<td>1,120"
+    "<tr><td rowspan=2>바이오<td rowspan=2>첨단바이오<td>유전자<td>2,010<tr><td>파운드리<td>1,340</table>",
+    "subtotal": "<table><tr><th>부문<th>제품<th>매출<th>이익<tr><td rowspan=2>반도체<td>메모리<td>100<td>10<tr><td>파운드리<td>200<td>20<tr><td colspan=2>소계<td>300<td>30</table>",
+    "halves": "<table><tr><td rowspan=2 colspan=2>사업부문<td colspan=2>2025년<td colspan=2>2024년<tr><td>상반기<td>하반기<td>상반기<td>하반기<tr><td rowspan=2>CMA<td>수익<td>8,368<td>2,381<td>4,717<td>2,389<tr><td>비중<td>30.4%<td>24.9%<td>10.4%<td>11.1%</table>",
+    "fake": "<table><tr><td rowspan=2 colspan=2>구분<td colspan=2>가온<tr><td>개인<td>법인<tr><td>표준<td>이용료<td>3,300원<td>88,000원</table>",
+    "spacer": f"<table><tr><td><td>구분<td>개인<td>법인<td><tr><td><td>수수료<td>2,200원<td>44,000원<td><tr><td><td colspan=3>{NOTE}<td></table>",
+    "list": "<table><tr><th>회사명<th>소재지<th>자산총액<th>당기순손익<tr><td>가온반도체<td>경기 화성<td>2,840,000<td>184,000</table>",
+    "overlap": "<table><tr><td>a<td rowspan=2>b<td>c<tr><td colspan=3>d</table>",
     "blank": "",
     "null": None,
 }
@@ -87,6 +96,30 @@ def test_headers(by_doc):
     assert by_doc[IDS["codes"], 0]["hc"] == 3
 
 
+def test_merged_keys(by_doc, kv, lines):
+    text = lambda name: [[c["text"] for c in row] for row in by_doc[IDS[name], 0]["grid"]]
+    assert text("stairs")[1:] == [["첨단소재", "반도체", "메모리", "3,890"], ["첨단소재", "반도체", "화합물", "2,140"], ["첨단소재", "이차전지", "전고체", "2,780"], ["첨단소재", "이차전지", "리튬메탈", "1,120"], ["바이오", "첨단바이오", "유전자", "2,010"], ["바이오", "첨단바이오", "파운드리", "1,340"]]
+    assert kv[IDS["stairs"], 5] == "대분류: 바이오, 중분류: 첨단바이오, 세부: 파운드리, 예산: 1,340"
+    assert text("subtotal")[-1] == ["소계", "소계", "300", "30"] and kv[IDS["subtotal"], 2] == "부문: 소계, 매출: 300, 이익: 30"
+    assert by_doc[IDS["halves"], 0]["n_header"] == 2 and by_doc[IDS["halves"], 0]["labels"][2:] == ["2025년 > 상반기", "2025년 > 하반기", "2024년 > 상반기", "2024년 > 하반기"]
+    assert "CMA 수익 2025년 > 상반기: 8,368" in lines[IDS["halves"]]
+    assert by_doc[IDS["fake"], 0]["n_header"] == 2 and len(lines[IDS["list"]]) == 1
+    assert "자산총액: 2,840,000" in lines[IDS["list"]][0] and "당기순손익: 184,000" in lines[IDS["list"]][0]
+
+
+def test_overlap_goes_to_the_last_cell(by_doc, e, t):
+    # b reaches down into the second row, whose cell begins at column 0 and is three wide
+    grid = by_doc[IDS["overlap"], 0]["grid"]
+    assert [c["text"] for c in grid[0]] == ["a", "b", "c"] and [c["text"] for c in grid[1]] == ["d", "d", "d"]
+    assert {r["doc_id"]: (r["covered"], r["claimed"]) for r in conservation(e, t).collect()}[IDS["overlap"]] == (6, 7)
+
+
+def test_spans_are_bounded_only_on_request():
+    wide = "<table><tr><td colspan=1500 rowspan=3>x<td>y</table>"
+    free, capped = document(1, wide), document(1, wide, HTML_SPANS)
+    assert (free["tables"][0]["n_cols"], free["tables"][0]["n_rows"]) == (1501, 3) and capped["tables"][0]["n_cols"] == 1001
+
+
 def test_lines(lines, kv):
     assert kv[IDS["rowspan"], 1] == "부문: 반도체, 매출: 200"
     assert kv[IDS["colspan"], 0] == "구분: 비고, 상반기: 해당없음"
@@ -103,6 +136,7 @@ def test_chunks(e, t):
         c.setdefault(r["doc_id"], []).append(r)
     assert [(x["kind"], NOTE in x["text"]) for x in c[IDS["prose"]]] == [("table", False), ("text", True)]
     assert not any("비밀" in x["text"] for x in c[IDS["comment"]])
+    assert [(x["kind"], NOTE in x["text"]) for x in c[IDS["spacer"]]] == [("table", False), ("text", True)]
     assert [x["kind"] for x in c[IDS["layout"]]] == ["text", "table"]
     assert "문서 제목" in c[IDS["titled"]][0]["text"]
     assert any("안쪽1" in x["text"] for x in c[IDS["broken"]])
@@ -110,16 +144,19 @@ def test_chunks(e, t):
 
 
 def test_split_keeps_rows(spark):
-    html = "<table><tr><th>부문<th>값<tr><td rowspan=40>반도체<td>0" + "".join(f"<tr><td>{k * 111}" for k in range(1, 40)) + "</table>"
+    rows = "".join(f"<tr><td>{k * 100}</td><td>{k * 7}%</td></tr>" for k in range(1, 40))
+    html = f'<table><caption>긴 표</caption><tr><th>부문</th><th>매출</th><th>비중</th></tr><tr><td rowspan="40">반도체</td><td>0</td><td>0%</td></tr>{rows}</table>'
     found = table_aware(extract(spark.createDataFrame([(1, html)], "doc_id long, html string")), 400).collect()
     body = [x for r in found for x in r["text"].split("\n")[2:]]
-    assert len(found) >= 3 and len(body) == 40 and all(x.startswith("부문: 반도체") for x in body)
+    assert len(found) >= 3 and len(body) == 40 and all(x.startswith("부문: 반도체, 매출: ") for x in body)
+    assert all(len(r["text"]) <= 400 and not r["oversize"] for r in found)
 
 
 def test_invariants(e, t):
     got = {r["doc_id"]: r for r in invariants(e, t, table_aware(e, 400, t)).collect()}
     assert len(got) == len(PAGES)
     assert all(r["rectangular"] and r["row_atomic"] for r in got.values())
+    assert [i for i, r in got.items() if not r["cell_conservation"]] == [IDS["overlap"]]
     assert got[IDS["broken"]]["text_coverage"] == 1.0
 
 
