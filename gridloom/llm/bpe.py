@@ -61,6 +61,18 @@ def by_rank(path: str) -> Callable[[str], list[int]] | None:
     return tiktoken.Encoding("by_rank", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
 
+def known_rule(path: str) -> bool:
+    """Whether the file pre-tokenizes by PATTERN, without normalizer, prefix space or post-processing that changes ids."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    parts = made.get("pre_tokenizer") or {}
+    parts = parts.get("pretokenizers", [parts])
+    first, last = parts[0], parts[-1]
+    split = first.get("type") == "Split" and first.get("pattern", {}).get("Regex") == PATTERN and len(parts) == 2 and not last.get("use_regex", True)
+    plain = len(parts) == 1 and first.get("use_regex", True)
+    return bool(made.get("normalizer") is None and last.get("type") == "ByteLevel" and not last.get("add_prefix_space", True) and (split or plain))
+
+
 class Codes(dict):
     """Chunk to what is kept of its ids, filled as chunks come."""
 
@@ -84,7 +96,9 @@ class TreeEncoder:
         added = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added) if added else r"(?!)")
         self.leaf, self.limit = leaf, cache
-        self.quick = by_rank(path)
+        #: Whether the file's rule is the known pattern: texts may be cut at safe spaces, and the rank-based encoder may be used.
+        self.cuts = known_rule(path)
+        self.quick = by_rank(path) if self.cuts else None
         self.width = {i: len(t) for t, i in self.lib.get_vocab(with_added_tokens=False).items()}
         self.alphabet = byte_alphabet()
 
@@ -124,31 +138,33 @@ class TreeEncoder:
             out += self.unsplit(stood)
         return out
 
+    def plain(self, chunk: str) -> bool:
+        """A short chunk that the known pattern cuts as the file's own rule does, without special strings."""
+        return bool(self.quick) and len(chunk) * 4 < self.leaf and (chunk.isascii() or max(chunk) < COMMON) and not self.special.search(chunk)
+
     def ids_of(self, chunk: str) -> list[int]:
-        if self.quick and len(chunk) * 4 < self.leaf and (chunk.isascii() or max(chunk) < COMMON) and not self.special.search(chunk):
-            return self.quick(chunk)
-        return self.chunk(chunk)
+        return self.quick(chunk) if self.plain(chunk) else self.chunk(chunk)
 
-    def coder(self, code: Callable[[list[int]], object], known: dict[str, object] | None = None) -> Callable[[str], list]:
-        """A function from a text to its chunks' codes. ``code`` makes of ids what is kept; ``known``: codes to begin with, by chunk without its leading space."""
-        later = Codes(lambda c: code(self.ids_of(" " + c)))
-        later.update(known or {})
+    def coder(self, code: Callable[[str], object]) -> Callable[[str], list]:
+        """A function from a text to its chunks' codes, which ``code`` makes of a chunk and which are kept."""
+        if not self.cuts:  # a rule that is not known: the text as a whole
+            return lambda text: [code(text)] if text else []
+        later = Codes(lambda c: code(" " + c))
 
         def of(text: str) -> list:
             if not text:
                 return []
             if len(later) > self.limit:
                 later.clear()
-                later.update(known or {})
             p = chunks(text)
-            return [code(self.ids_of(p[0])), *map(later.__getitem__, p[1:])]
+            return [code(p[0]), *map(later.__getitem__, p[1:])]
 
         return of
 
     def ids(self, batch: list[str]) -> list[bytes]:
         """Raw int32 ids of each text."""
         if not hasattr(self, "_as_bytes"):
-            self._as_bytes = self.coder(lambda i: array("i", i).tobytes())
+            self._as_bytes = self.coder(lambda c: array("i", self.ids_of(c)).tobytes())
         return [b"".join(self._as_bytes(t)) for t in batch]
 
 

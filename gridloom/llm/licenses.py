@@ -21,13 +21,21 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 TEMPLATES = {
     "mit-notice": ["[this {6} is] released under the [terms of the] mit license", "[this {6} is] licensed under the [terms of the] mit license", "[this {6} is] distributed under the [terms of the] mit license"],
     "apache-2.0-notice": ["licensed under the apache license version 2 0 [the license you may not use this file except in compliance with the license]", "released under the apache license version 2 0"],
-    "gpl-notice": ["licensed under the gnu general public license [version {1} [or [at your option any] later]]", "released under the gnu general public license", "under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl-notice": ["licensed under the gnu general public license [version {1} [or [at your option any] later]]", "released under the gnu general public license"],
+    "gpl-2.0-notice": ["under the terms of the gnu general public license [version 2] as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "gpl-3.0-notice": ["under the terms of the gnu general public license [version 3] as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "lgpl-notice": ["under the terms of the gnu lesser general public license [as published by the free software foundation]", "licensed under the [gnu] lgpl"],
+    "mpl-2.0-notice": ["this source code form is subject to the terms of the mozilla public license v 2 0 [if a copy of the mpl was not distributed with this file you can obtain one at [http|https] mozilla org mpl 2 0]", "[licensed|released] under the mozilla public license [version|v] 2 0"],
+    "cc0-1.0": ["[licensed|released|dedicated] [to the public domain] under [the] [creative commons] cc0 1 0", "creative commons cc0 1 0 universal"],
     "cc-by-nc-4.0": ["[this {4} is] licensed under [the|a] [creative commons] cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"],
+    "cc-by-sa-4.0": ["licensed under [the|a] [creative commons] cc by sa 4 0", "creative commons attribution sharealike 4 0 international"],
     "cc-by-4.0": ["licensed under [the] cc by 4 0", "creative commons attribution 4 0 international"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
     "mit-text": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software"
     ],
     "isc-text": ["permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "zlib-text": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
     "bsd-text": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3] neither the name of {12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]"
     ],
@@ -120,9 +128,13 @@ class Scanner:
                 raise ValueError(f"{label}: a template must begin with a word and not match nothing")
             for w in a.firsts:
                 self.by_first.setdefault(w, []).append((label, a))
-        last = {p[-1] for p, _ in self.phrases}
-        #: A text without any of these words holds neither a phrase nor a template.
-        self.signs = re.compile(b"|".join(sorted({*last, *(max(self._needed(a), key=len) for _, a in self.automata)})))
+        #: A text without any of these words holds neither a phrase nor a template. A template without a word that every acceptance has
+        #: gives the words that it can begin with.
+        signs = {p[-1] for p, _ in self.phrases}
+        for _, a in self.automata:
+            needed = self._needed(a)
+            signs |= {max(needed, key=lambda w: (len(w), w))} if needed else a.firsts
+        self.signs = re.compile(b"|".join(map(re.escape, sorted(signs))) or b"(?!)")
 
     @staticmethod
     def _needed(a: Automaton) -> set[bytes]:
@@ -164,12 +176,17 @@ class Scanner:
                 if end >= 0:
                     spans.append((label, at, end))
         found = base | {s[0] for s in spans}
-        score = 1.0 if spans else 0.5 if base else 0.0
+        # each label is evidence, one with an accepted template twice that of a phrase alone
+        score = 1 - 1 / (1 + 2 * len({s[0] for s in spans}) + len(base))
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(found)), score, spans
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: counts, places, labels, score and the spans of accepted templates. A null text is empty."""
+    """One row for each row of docs: counts, places, labels, score and the spans of accepted templates.
+
+    A null text is empty and has no words, labels or places; its score is 0. Repeated rows and rows with a null id are scanned each by itself.
+    Where a template is accepted from one place in several ways the longest counts. Spans come in order of their places, then of the catalogue.
+    """
     small_batches(spark_of(docs))
     spans = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
 
@@ -192,3 +209,24 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases:
 
 def digest(scanned: DataFrame) -> DataFrame:
     return scanned.drop("spans")
+
+
+def pattern(template: str) -> str:
+    """The template as a regular expression over words that a space stands before and after; both engines' syntax."""
+    out = ""
+    for item in re.findall(r"\[|\]|\||\{\d+\}|[^\s\[\]|{}]+", template):
+        out += {"[": "(?:", "]": ")?", "|": "|"}.get(item) or (f"(?: [^ ]+){{0,{item[1:-1]}}}" if item[0] == "{" else " " + item)
+    return f"(?:{out}) "
+
+
+def oracle_sql(templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> str:
+    """The same scan of ``documents`` in DuckDB SQL."""
+    found = ", ".join(f"CASE WHEN regexp_matches(t, '{'|'.join(map(pattern, many))}') THEN '{label}' END" for label, many in templates.items())
+    places = " || ".join(f"list_transform(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + {len(p.split()) - 1}] = [{', '.join(repr(w) for w in p.split())}]), lambda i: {{'at': i - 1, 'label': '{label}'}})" for p, label in phrases.items())
+    return f"""
+WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS t, {places} AS places FROM w),
+l AS (SELECT *, list_distinct(list_transform(places, lambda x: x.label)) AS base, list_filter([{found}], lambda x: x IS NOT NULL) AS more FROM p)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(list_transform(places, lambda x: x.at))::BIGINT AS first_word, list_max(list_transform(places, lambda x: x.at))::BIGINT AS last_word,
+       array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || more)), ',') AS labels, 1 - 1::DOUBLE / (1 + 2 * len(more) + len(base)) AS score FROM l
+"""

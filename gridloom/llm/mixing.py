@@ -9,7 +9,8 @@ the source), and slots and documents meet by block index. No pass is begun befor
 twice the source, so no document is taken more than twice.
 
 Running sums never put a source into one task: documents fall into about sqrt(rows) buckets, sums run within a
-(source, bucket) and then over the buckets. Only the totals of the sources come to the driver.
+(source, bucket) and then over the buckets. The sources are a table like others, of any length; what comes to the driver are four
+numbers. A draw finds its source by an equal join on a cell of the line that the sources share out, not by a list of all sources.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ REPEATS = 2
 BLOCK = 128
 ROUNDS = 16
 SEED = 20_011
-#: Source totals that may come to the driver; more sources than this are an error, not a sample.
-MAX_SOURCES = 100_000
+#: Slots that a task permutes.
+PART = 25_000
 PRIME = 2_147_483_647
 
 
@@ -42,30 +43,44 @@ def mixed_hash(v: str, c: str) -> str:
 
 @dataclass
 class Mix:
-    """``docs``: doc_id, tie, source, sid, size, start (its first word's place in the source's stream); ``takes``: sid, block, times."""
+    """``docs``: doc_id, tie, source, sid, size, start (its first word's place in the source's stream); ``takes``: sid, block, times;
+    ``sources``: source, sid, size, target, blocks, quota."""
 
     docs: DataFrame
     takes: DataFrame
-    sources: list[dict]
+    sources: DataFrame
     block: int
 
 
-def targets(totals: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> list[dict]:
-    """Sources by code point, null last, with weight and target: shares of share * all by weight, none above repeats * its size."""
-    by_name = sorted(totals, key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    out = [{"source": s, "size": n, "sid": k, "weight": weights[k % len(weights)], "full": False} for k, (s, n) in enumerate(by_name)]
-    left = share * sum(x["size"] for x in out)
-    for x in sorted(out, key=lambda x: (repeats * x["size"] / x["weight"], x["sid"])):
-        rest = sum(y["weight"] for y in out if not y["full"])
-        if left / rest * x["weight"] <= repeats * x["size"]:
-            break
-        x["full"], x["target"] = True, float(repeats * x["size"])
-        left -= repeats * x["size"]
-    rest = sum(y["weight"] for y in out if not y["full"])
-    for x in out:
-        if not x["full"]:
-            x["target"] = left / rest * x["weight"]
-    return out
+def targets(totals: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """Of totals (source, size): sid (sources by code point, null last), weight, target, blocks, quota (of slots).
+
+    Shares of share * all by weight, none above repeats * its size. In the order of repeats * size / weight the sources that a
+    level would overfill come first: the first source that takes its share of what is left sets the level of all after it.
+    """
+    t = totals.withColumn("sid", F.row_number().over(W.orderBy(F.asc_nulls_last("source"))) - 1)
+    t = t.withColumn("weight", F.expr(f"element_at(array({', '.join(map(str, weights))}), sid % {len(weights)} + 1)"))
+    order = W.orderBy(F.lit(float(repeats)) * F.col("size") / F.col("weight"), "sid")
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
+    all_ = F.sum("size").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    level = (F.lit(share) * all_ - F.coalesce(F.sum(F.lit(repeats) * F.col("size")).over(before), F.lit(0))) / F.sum("weight").over(after)
+    t = t.withColumns({"level": level, "ord": F.row_number().over(order)})
+    fits = F.when(F.col("level") * F.col("weight") <= F.lit(repeats) * F.col("size"), F.col("ord"))
+    whole = W.orderBy("ord").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    t = t.withColumns({"first": F.min(fits).over(whole), "at": F.min_by("level", fits).over(whole)})
+    t = t.withColumn("target", F.when(F.col("ord") < F.col("first"), (F.lit(repeats) * F.col("size")).cast("double")).otherwise(F.col("at") * F.col("weight")))
+    blocks = F.ceil(F.col("size") / F.lit(float(block))).cast("long")
+    t = t.withColumn("blocks", blocks)
+    quota = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(repeats) * F.col("blocks"), F.floor(F.col("blocks") * F.col("target") / F.col("size") + 0.5)))
+    return t.select("source", "sid", "size", "target", "blocks", quota.cast("long").alias("quota"))
+
+
+def on_line(points: DataFrame, at: Column, parts: DataFrame, total: int, n: int) -> DataFrame:
+    """Join points to the part [lo, hi) of the line from 0 to ``total`` that each falls into, over about four cells a part."""
+    cells = max(1, min(4 * n, total))
+    cell = lambda c: F.floor(c * cells / F.lit(total)).cast("long")
+    spread = parts.filter("lo < hi").withColumn("_cell", F.explode(F.sequence(cell(F.col("lo")) - 1, cell(F.col("hi") - 1) + 1)))
+    return points.withColumn("_at", at).withColumn("_cell", cell(F.col("_at"))).join(spread, "_cell").filter((F.col("_at") >= F.col("lo")) & (F.col("_at") < F.col("hi"))).drop("_at", "_cell", "lo", "hi")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -74,69 +89,51 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(f"`{source_col}`").cast("string").alias("source"), F.size(words_of(text)).cast("long").alias("size"))
 
 
-def lookup(values: list, at: str, kind: str = "bigint") -> F.Column:
-    """The at-th of a few driver-side values, as an expression."""
-    return F.expr(f"element_at(cast(array({', '.join(map(repr, values))}) AS array<{kind}>), cast({at} AS int) + 1)")
-
-
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, **names: str) -> Mix | None:
     """Plan the mix over all rows. None for an empty table. Null ids, texts and sources are rows like others; a text
     without words is never taken. Reruns agree, as nothing but ids, texts and the seed decides."""
-    spark = spark_of(docs)
     base = stored(sized(docs, **names), "mix-sizes")
-    totals = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    if not totals:
+    sources = stored(targets(base.groupBy("source").agg(F.sum("size").alias("size")), block, weights, share, repeats), "mix-sources")
+    n_rows, n_sources, slots = base.count(), *sources.agg(F.count("*"), F.sum("quota")).first()
+    if not n_rows:
         return None
-    sources = targets([(r["source"], r["size"]) for r in totals], weights, share, repeats)
-    for x in sources:
-        x["blocks"] = -(-x["size"] // block)
-        x["quota"] = min(repeats * x["blocks"], math.floor(x["blocks"] * x["target"] / x["size"] + 0.5)) if x["size"] else 0
-    buckets = max(1, math.isqrt(sum(r["rows"] for r in totals)))
-
-    sid = F.expr("CASE " + " ".join("WHEN source <=> " + ("NULL" if x["source"] is None else "'" + x["source"].replace("\\", "\\\\").replace("'", "\\'") + "'") + f" THEN {x['sid']}" for x in sources) + " END") if len(sources) <= 200 else None
-    named = base.withColumn("sid", sid) if sid is not None else base.join(spark.createDataFrame([(x["source"], x["sid"]) for x in sources], "s string, sid int"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    buckets = math.isqrt(n_rows)
+    named = base.join(sources.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     named = named.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(buckets)))
     sums = named.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     before = sums.select("sid", "bucket", (F.sum("n").over(W.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("before"))
     within = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     placed = named.withColumn("within", within).join(before, ["sid", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "bucket")
-
-    return Mix(placed, takes(spark, sources, seed), sources, block)
+    return Mix(placed, takes(sources, n_sources, slots, seed), sources, block)
 
 
-def takes(spark, sources: list[dict], seed: int) -> DataFrame:
+def takes(sources: DataFrame, n_sources: int, slots: int, seed: int) -> DataFrame:
     """sid, block, times: what the filled slots of all shards take."""
-    slots = sum(x["quota"] for x in sources)
+    spark = spark_of(sources)
     per_shard = max(1024, math.isqrt(slots))
-    ends, total = [], 0
-    for x in sources:
-        total += x["quota"]
-        ends.append(PRIME * total // max(1, slots))
-    draw = mixed_hash("id", str(seed))
-    drawn = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"id div {per_shard}").alias("shard"), F.expr(f"size(filter(array({', '.join(map(str, ends))}), e -> e <= {draw}))").alias("sid"))
+    upto = F.sum("quota").over(W.orderBy("sid"))
+    ends = F.expr(f"cast(cast({PRIME} AS decimal(38, 0)) * upto div {max(1, slots)} AS bigint)")
+    parts = sources.withColumn("upto", upto).withColumn("hi", ends).withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("sid")), F.lit(0))).select("sid", "lo", "hi")
+    drawn = on_line(spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"id div {per_shard}").alias("shard")), F.expr(mixed_hash("slot", str(seed))), parts, PRIME, n_sources)
     counts = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n"))
     running = stored(counts.withColumn("before", F.sum("n").over(W.partitionBy("sid").orderBy("shard")) - F.col("n")), "mix-counts")
-    had = {r["sid"]: r["n"] for r in running.groupBy("sid").agg(F.sum("n").alias("n")).collect()}
-    quota = [x["quota"] for x in sources]
-    lacking, ends_of_lack = [], []
-    for x in sources:
-        lacking.append(max(0, x["quota"] - had.get(x["sid"], 0)))
-        ends_of_lack.append(sum(lacking))
-    over = running.withColumn("quota", lookup(quota, "sid")).withColumn("over", F.col("n") - F.least(F.col("n"), F.greatest(F.lit(0), F.col("quota") - F.col("before"))))
+    known = sources.join(running.groupBy("sid").agg(F.sum("n").alias("had")), "sid", "left").select("sid", "blocks", "quota", F.coalesce("had", F.lit(0)).alias("had"))
+    known = known.withColumn("lack", F.greatest(F.lit(0), F.col("quota") - F.col("had"))).withColumn("hi", F.sum("lack").over(W.orderBy("sid"))).withColumn("lo", F.col("hi") - F.col("lack"))
+    known = stored(known, "mix-quotas")
+    lacking = known.agg(F.sum("lack")).first()[0] or 0
+    over = running.join(known.select("sid", "quota"), "sid").withColumn("over", F.col("n") - F.least(F.col("n"), F.greatest(F.lit(0), F.col("quota") - F.col("before"))))
     extra = over.groupBy("shard").agg(F.sum("over").alias("over"))
     # shards are about as many as slots in one, so that this running sum over all shards is one shard's work
     extra = extra.withColumn("over_before", F.sum("over").over(W.orderBy("shard")) - F.col("over")).drop("over")
     numbered = drawn.withColumn("nth", F.row_number().over(W.partitionBy("shard", "sid").orderBy("slot")) - 1)
-    numbered = numbered.join(running.select("shard", "sid", "before"), ["shard", "sid"]).withColumn("j", F.col("before") + F.col("nth"))
-    full = F.col("j") >= lookup(quota, "sid")
-    kept = numbered.filter(~full).select("sid", "j")
-    moved = numbered.filter(full).withColumn("g", F.row_number().over(W.partitionBy("shard").orderBy("slot")) - 1).join(extra, "shard").withColumn("g", F.col("g") + F.col("over_before"))
-    moved = moved.withColumn("to", F.expr(f"size(filter(array({', '.join(map(str, ends_of_lack))}), e -> e <= g))"))
-    moved = moved.select(F.col("to").alias("sid"), (lookup([had.get(x["sid"], 0) for x in sources], "to") + F.col("g") - lookup([e - n for e, n in zip(ends_of_lack, lacking, strict=True)], "to")).alias("j"))
-    slots_of = kept.unionByName(moved).withColumn("n", lookup([x["blocks"] for x in sources], "sid"))
-    slots_of = slots_of.withColumns({"pass": F.expr("j div n"), "x": F.expr("j % n")})
+    numbered = numbered.join(running.select("shard", "sid", "before"), ["shard", "sid"]).withColumn("j", F.col("before") + F.col("nth")).join(known.select("sid", "quota"), "sid")
+    kept = numbered.filter("j < quota").select("sid", "j")
+    moved = numbered.filter("j >= quota").withColumn("g", F.row_number().over(W.partitionBy("shard").orderBy("slot")) - 1).join(extra, "shard").select((F.col("g") + F.col("over_before")).alias("g"))
+    moved = on_line(moved, F.col("g"), known.select("sid", "had", "lo", "hi", F.col("lo").alias("from")), max(1, lacking), n_sources)
+    moved = moved.select("sid", (F.col("had") + F.col("g") - F.col("from")).alias("j"))
+    slots_of = kept.unionByName(moved).join(known.select("sid", F.col("blocks").alias("n")), "sid").select("sid", "n", F.expr("j div n").alias("pass"), F.expr("j % n").alias("x"))
+    # what follows costs time, not bytes: parts of equal numbers, which adaptive execution leaves as they are
+    slots_of = slots_of.repartition(max(1, -(-slots // PART)))
     return slots_of.select("sid", F.expr(permuted("x", seed)).alias("block")).groupBy("sid", "block").agg(F.count("*").alias("times"))
 
 
@@ -166,21 +163,44 @@ def taken(docs: DataFrame, **options) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id long, size long, source_size long, target double, taken long")
     some = pieces(m).groupBy("doc_id", "sid", "start", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken")).drop("start")
     none = m.docs.filter("size = 0").select("doc_id", "sid", "size", F.lit(0).cast("long").alias("taken"))
-    return some.unionByName(none).select("doc_id", "size", lookup([x["size"] for x in m.sources], "sid").alias("source_size"), lookup([x["target"] for x in m.sources], "sid", "double").alias("target"), "taken")
+    sources = m.sources.select("sid", F.col("size").alias("source_size"), "target")
+    return some.unionByName(none).join(sources, "sid").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, columns as in docs: for each pass, the words of a document that the pass takes, in order.
 
     A document that a pass takes whole keeps its text as it is; of one taken in part the taken words are joined by a
-    space. A document that no slot took is left out, one taken twice comes twice.
+    space. A document that no slot took is left out, one taken twice comes twice. Null ids, texts and sources are values like
+    others; each of several equal rows is a document of its own; columns beginning with an underscore must not be there.
     """
     m = mix(docs, **options)
     if m is None:
         return docs
-    of = pieces(m).filter("times > 0").groupBy("doc_id", "tie", "size").agg(F.sort_array(F.collect_list(F.struct("offset", "words", "times"))).alias("_pieces"))
-    text = F.col("text").cast("string")
-    joined = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_tie": F.xxhash64(text)}).join(of.select(F.col("doc_id").alias("_id2"), F.col("tie").alias("_tie2"), F.col("size").alias("_size"), "_pieces"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_tie") == F.col("_tie2")))
+    key = ["doc_id", "tie", "source"]
+    of = pieces(m).filter("times > 0").groupBy(*key, "start", "size").agg(F.sort_array(F.collect_list(F.struct("offset", "words", "times"))).alias("_pieces"))
+    wide = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_tie": F.xxhash64(F.col("text").cast("string")), "_from": F.col("source").cast("string")})
+
+    def same(x: DataFrame, y: DataFrame, how: str, *more: Column) -> DataFrame:
+        y = y.withColumnsRenamed({"doc_id": "_id2", "tie": "_tie2", "source": "_from2", "size": "_size"})
+        on = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_tie") == F.col("_tie2")) & F.col("_from").eqNullSafe(F.col("_from2"))
+        for c in more:
+            on = on & c
+        return x.join(y, on, how)
+
+    # rows that are equal in id, text and source stand at different places of the stream: the n-th takes the n-th place
+    again = stored(m.docs.filter("size > 0").groupBy(*key).count().filter("count > 1").select(*key), "mix-again")
+    if again.isEmpty():
+        joined = same(wide, of, "inner")
+    else:
+        nth = lambda by, order: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+        places = same(m.docs.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("source").alias("_from"), "start"), again, "left_semi")
+        places = places.withColumn("_place", nth(["_id", "_tie", "_from"], ["start"])).select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), F.col("_from").alias("source"), F.col("start").alias("_start"), "_place")
+        numbered = same(wide, again, "left_semi").withColumn("_nth", nth(["_id", "_tie", "_from"], ["_id"]))
+        located = same(numbered, places, "inner", F.col("_nth") == F.col("_place")).drop("_id2", "_tie2", "_from2")
+        columns = [*wide.columns, "_size", "_pieces"]
+        joined = same(wide, again, "left_anti").transform(lambda x: same(x, of, "inner")).select(*columns)
+        joined = joined.unionByName(same(located, of, "inner", F.col("_start") == F.col("start")).select(*columns))
     each = joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.lit(options.get("repeats", REPEATS)))))
     each = each.withColumn("_own", F.filter("_pieces", lambda p: p["times"] >= F.col("_pass"))).filter(F.size("_own") > 0)
     each = each.withColumns({"_n": F.aggregate("_own", F.lit(0).cast("long"), lambda s, p: s + p["words"]), "_words": words_of(F.col("text"))})

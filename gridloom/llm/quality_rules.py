@@ -47,9 +47,10 @@ def failed(names: tuple[str, ...] | None = None, rules: list[tuple] = RULES) ->
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row for each row of docs: its id (and columns ``keep``), then the measures. A null text has no words.
 
-    n_repeat_words: words inside any 3-word window that is found twice or more in the text. Windows are sorted with
-    their places; those equal to a neighbour repeat; a place covers itself and two more words, less what the next
-    repeated place covers again.
+    n_repeat_words: words inside any 3-word window that is found twice or more in the text. Windows are sorted by a 64-bit hash with
+    their places; those whose words equal a neighbour's repeat; a place covers itself and two more words, less what the next
+    repeated place covers again. A window is 12 bytes, so that memory stays in proportion to the text. Repeated rows are judged
+    each by itself, an empty table gives none.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, WORD_BREAK_CLASS, "") != "")
@@ -63,10 +64,11 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
-            "_windows": F.expr("CASE WHEN size(_words) >= 3 THEN array_sort(transform(sequence(0, size(_words) - 3), i -> struct(concat_ws(' ', _words[i], _words[i + 1], _words[i + 2]) AS w, i AS i))) ELSE array() END"),
+            "_windows": F.expr("CASE WHEN size(_words) >= 3 THEN sort_array(transform(sequence(0, size(_words) - 3), i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) AS h, i AS i))) ELSE array() END"),
         }
     )
-    out = out.withColumn("_places", F.expr("sort_array(transform(filter(_windows, (x, k) -> coalesce(x.w = get(_windows, k - 1).w, false) OR coalesce(x.w = get(_windows, k + 1).w, false)), x -> x.i))"))
+    alike = "coalesce(x.h = get(_windows, k {0}).h AND _words[x.i] = _words[get(_windows, k {0}).i] AND _words[x.i + 1] = _words[get(_windows, k {0}).i + 1] AND _words[x.i + 2] = _words[get(_windows, k {0}).i + 2], false)"
+    out = out.withColumn("_places", F.expr(f"sort_array(transform(filter(_windows, (x, k) -> {alike.format('- 1')} OR {alike.format('+ 1')}), x -> x.i))"))
     covered = "aggregate(transform(_places, (x, k) -> least(3, coalesce(get(_places, k + 1) - x, 3))), 0, (s, x) -> s + x)"
     # the row number is never negative; it keeps the optimizer from moving a later filter below these projections, where
     # it would evaluate the window arrays again at every mention

@@ -4,8 +4,9 @@ Fit: on a bounded sample of labelled rows, each word and each prefix of it gets
 other documents, smoothed by an informative Dirichlet prior, with its z-score. A word scores the log-odds of its
 most certain significant form, any other word a fixed penalty. A linear scan (Ruzzo and Tompa) finds all
 maximal segments of positive score. Their scores are calibrated by the extreme-value law: lambda solves sum p e^(lambda s) = 1 over
-the scores of clean text, K fits the number of segments seen there, and a segment is significant when K m e^(-lambda S) is
-small. A logistic curve over the best segment, the number of significant ones and their sum gives the score.
+the scores of clean text, K is the rate of segments there above their median score, and a segment is significant when the number
+expected by chance, K m e^(-lambda S), is small. A logistic curve over calibrated scores alone - what the best segment is worth, how many are
+significant and what those are worth together - gives the document's score.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from .common import map_batches, small_batches, spark_of, stored, texts
 
 #: Labelled rows that the model is fitted on, at most; the smallest by hash of their id.
 MAX_TRAIN = 8_000
-MAX_FEATURES = 20_000
+#: Bound of the broadcast: the most certain forms, were there more.
+MAX_FEATURES = 100_000
 MIN_SUPPORT = 4
 MIN_Z = 4.0
 PREFIXES = range(3, 9)
@@ -49,25 +51,29 @@ class Model:
 def maximal_segments(scores: list[tuple[int, float]], n: int, penalty: float = PENALTY) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of n tokens, of which ``scores`` names the positive ones in order.
 
-    The list of Ruzzo and Tompa: each candidate keeps the running total before it and at its end. Between positive
-    tokens the total falls by the penalty a token, so that only positive tokens need a step.
+    The list of Ruzzo and Tompa: each candidate keeps the running total before it and at its end, and a link back to the last
+    candidate with a smaller total before it; what the link skips can never be joined again, which makes the scan linear. Between
+    positive tokens the total falls by the penalty a token, so that only positive tokens need a step.
     """
     found: list[tuple[int, int, float, float]] = []  # start, end, total before, total at the end
+    back: list[int] = []
     total, at = 0.0, 0
     for place, s in scores:
         total += penalty * (place - at)
         left, start = total, place
         total += s
         at = place + 1
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = back[j]
             if j < 0 or found[j][3] >= total:
                 break
             start, left = found[j][0], found[j][2]
-            del found[j:]
+            at_, j = j, back[j]
+            del found[at_:], back[at_:]
         found.append((start, at, left, total))
+        back.append(j)
     return [(a, b, r - left) for a, b, left, r in found]
 
 
@@ -102,11 +108,13 @@ class Scorer:
         """Features of a document, its significant segments, its numbers of words and of segments."""
         positives, n = self.positives(text)
         segments = maximal_segments(positives, n)
-        limit = math.log(max(1, n) * self.m.k / SIGNIFICANT) / self.m.rate
-        sure = [s for s in segments if s[2] >= limit]
-        best = max((s[2] for s in segments), default=0.0)
-        surprise = max(0.0, self.m.rate * best - math.log(self.m.k * max(1, n))) if segments else 0.0
-        return [1.0, min(surprise, 20.0), math.log1p(len(sure)), math.log1p(sum(s[2] for s in segments)), math.log1p(len(positives) / max(1, n) * 100)], sure, n, len(segments)
+        chance = math.log(self.m.k * max(1, n))  # log of the segments of score 0 or more that a clean text of n words has
+        worth = [(a, e, self.m.rate * s - chance) for a, e, s in segments]  # minus the log of the number expected by chance
+        limit = -math.log(SIGNIFICANT)
+        sure = [(a, e, s) for (a, e, s), w in zip(segments, worth, strict=True) if w[2] >= limit]
+        values = [w[2] for w in worth]
+        best = max(0.0, max(values, default=0.0))
+        return [1.0, min(best, 20.0), math.log1p(len(sure)), math.log1p(sum(v for v in values if v >= limit))], sure, n, len(segments)
 
     def score(self, features: list[float]) -> float:
         x = sum(a * b for a, b in zip(self.m.weights, features, strict=True))
@@ -162,24 +170,27 @@ def fit(train: DataFrame) -> Model:
     odds = lambda x, n: F.log((F.col(x) + prior) / (F.lit(n + PRIOR) - F.col(x) - prior + 1e-9))
     ranked = sums.filter(F.col("t") >= MIN_SUPPORT).withColumn("d", odds("t", nt) - odds("o", no)).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("o") + prior)))
     top = ranked.filter((F.col("z") >= MIN_Z) & (F.col("d") > 1)).orderBy(F.desc("z"), "form").limit(MAX_FEATURES).collect()
-    model = Model({r["form"]: (r["d"], r["z"]) for r in top}, 1.0, 0.1, [0.0] * 5)
+    model = Model({r["form"]: (r["d"], r["z"]) for r in top}, 1.0, 0.1, [0.0] * 4)
 
     def survey():
         scorer = Scorer(model)
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = [scorer.positives(t) for t in b.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([b.column(2), pa.array([n for _, n in rows], pa.int64()), pa.array([[s for _, s in p] for p, _ in rows], pa.list_(pa.float64())), pa.array([max((s[2] for s in maximal_segments(p, n)), default=0.0) for p, n in rows], pa.float64())], ["y", "n", "hits", "best"])
+            return pa.RecordBatch.from_arrays([b.column(2), pa.array([n for _, n in rows], pa.int64()), pa.array([[s for _, s in p] for p, _ in rows], pa.list_(pa.float64())), pa.array([[s[2] for s in maximal_segments(p, n)] for p, n in rows], pa.list_(pa.float64()))], ["y", "n", "hits", "segments"])
 
         return step
 
-    clean = [r for r in map_batches(train, survey, "y int, n long, hits array<double>, best double").filter("y = 0").collect()]
+    clean = [r for r in map_batches(train, survey, "y int, n long, hits array<double>, segments array<double>").filter("y = 0").collect()]
     words = max(1, sum(r["n"] for r in clean))
     hits = Counter(round(s, 2) for r in clean for s in r["hits"])
     rest = words - sum(hits.values())
     model.rate = solve_rate([PENALTY, *hits], [rest / words, *(c / words for c in hits.values())]) if hits else 1.0
-    seen = sum(math.exp(min(30.0, model.rate * r["best"])) for r in clean if r["best"] > 0)
-    model.k = min(1.0, max(1e-6, sum(1 for r in clean if r["best"] > 0) ** 2 / max(1.0, seen) / words * 10)) if clean else 0.1
+    levels = sorted(s for r in clean for s in r["segments"])
+    if levels:
+        middle = levels[len(levels) // 2]
+        above = len(levels) - len(levels) // 2
+        model.k = min(1.0, above / words * math.exp(min(30.0, model.rate * middle)))
 
     def measure():
         scorer = Scorer(model)
@@ -196,7 +207,10 @@ def fit(train: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, n_words, segments (start, end, score of each significant passage) for every row; a null text is empty."""
+    """doc_id, score, n_words, segments (start, end, score of each significant passage) for every row.
+
+    A null text is empty: it has no segments and the score of a text without any. Repeated rows and rows of one id are scored each by itself.
+    """
     small_batches(spark_of(docs))
     held = spark_of(docs).sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))

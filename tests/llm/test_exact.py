@@ -228,6 +228,38 @@ def test_mixed_documents(docs):
     assert words == Counter({i: n for i, n in taken.items() if n})
 
 
+def test_mixed_documents_of_repeated_rows(spark):
+    text = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    a, b = text("a", 300), text("b", 400)
+    rows = [(1, a, "x", "p"), (1, a, "x", "q"), (2, b, "x", "p"), (None, a, None, "p"), (None, a, None, "p"), (None, b, None, "p"), (3, None, "x", "p"), (1, a, "y", "p"), (4, "", "z", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    taken, words = Counter(), Counter()
+    for r in mixing.taken(df).collect():
+        taken[r["doc_id"]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    for r in mixing.mixed_documents(df).collect():
+        words[r["doc_id"]] += len(brute.WORD.findall(r["text"]))
+    assert words == Counter({i: n for i, n in taken.items() if n})
+
+
+def test_mixing_targets_of_many_sources(spark):
+    rng = random.Random(7)
+    totals = {f"s{k:04d}": rng.choice([0, 1, 5, 100, 10_000, 1_000_000]) for k in range(500)} | {None: 77}
+    got = {r["source"]: r for r in mixing.targets(spark.createDataFrame(list(totals.items()), "source string, size long")).collect()}
+    want = brute.sources_targets(totals)
+    assert {s: r["target"] for s, r in got.items()} == pytest.approx(want)
+    docs = [(k, "w " * (k % 90), f"s{k % 300}") for k in range(1500)]
+    taken = Counter()
+    for r in mixing.taken(spark.createDataFrame(docs, "doc_id long, text string, source string"), block=8).collect():
+        taken[f"s{r['doc_id'] % 300}"] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    sizes = Counter()
+    for k, t, s in docs:
+        sizes[s] += k % 90
+    aims = brute.sources_targets(sizes)
+    assert all(abs(taken[s] - aims[s]) <= 16 for s in aims)
+
+
 def test_licenses(case):
     df, rows = case
     got = licenses.digest(licenses.scan(df)).collect()
