@@ -123,7 +123,7 @@ def fit(train: DataFrame) -> Model:
 
 
 def vote(model: Model, x: np.ndarray) -> np.ndarray:
-    """Score of each row of term counts."""
+    """Score of each row of term counts. Of equal cosines at the last place any may vote; their labels count alike, as their weights are equal."""
     if not len(model.vectors):
         return np.full(len(x), model.mean)
     q = unit(weighted(x, model.idf) @ model.basis)
@@ -135,7 +135,10 @@ def vote(model: Model, x: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score for every row; a null text is empty."""
+    """doc_id, score for every row.
+
+    A null text is empty: it is judged by its length alone. Repeated rows and rows of one id are scored each by itself; an empty table gives none.
+    """
     small_batches(spark_of(docs))
     held = spark_of(docs).sparkContext.broadcast(model)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, ngram_join, quality_knn, quality_rules, substring_dedup, token_counts, toxicity, winnowing
+from . import bpe, licenses, mixing, ngram_join, oracles, quality_knn, quality_rules, substring_dedup, token_counts, toxicity, winnowing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.jaccard(),
+    "op2_fingerprints": oracles.fingerprints(),
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_mixing": mixing.oracle_sql(),
+    "op8_substring_dedup": oracles.substrings(),
+    "op10_licenses": licenses.oracle_sql(),
 }

@@ -29,8 +29,8 @@ from .incidence import FLUSH, WordHashes, bucket_of_doc, gather, pack, range_of,
 from .winnowing import gram_hashes
 
 LENGTH = 13
-#: Owner rows up to which they are broadcast to the scan of documents; beyond, a shuffled join.
-BROADCAST_ROWS = 100_000
+#: Bytes of owners' places up to which they are broadcast to the scan of documents; beyond, a shuffled join.
+BROADCAST_BYTES = 16 << 20
 BREAK = b"\n"  # no word, so that it parts spans
 
 
@@ -205,9 +205,9 @@ def shared_windows(blocks: DataFrame, n_buckets: int) -> DataFrame:
 
 def reference_spans(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     """(owner, spans): each owner's repeated windows as maximal runs of words, one span a line."""
-    places = shared.filter("kind = 0").groupBy("owner").agg(F.sort_array(F.collect_set("value")).alias("places"))
-    if shared.filter("kind = 0").select("owner").distinct().count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
+    places = stored(shared.filter("kind = 0").groupBy("owner").agg(F.sort_array(F.collect_set("value")).alias("places")), "places")
+    size = places.agg(F.sum(8 * F.size("places") + 64)).first()[0] or 0
+    places = F.broadcast(places) if size <= BROADCAST_BYTES else places.hint("shuffle_merge")
     owners = docs.join(places, F.col("doc_id") == F.col("owner")).select("owner", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

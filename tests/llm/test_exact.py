@@ -3,14 +3,16 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gridloom.llm import bpe, licenses, mixing, ngram_join, quality_rules, substring_dedup, token_counts, winnowing
+from gridloom.llm import bpe, licenses, mixing, ngram_join, quality_rules, queries, substring_dedup, token_counts, winnowing
 
 from . import brute
+from .conftest import SF
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -276,6 +278,29 @@ def test_license_templates():
     assert licenses.Scanner()(whole.replace("fee", "charge"))[5] == ""
 
 
+def test_license_template_of_alternatives():
+    scanner = licenses.Scanner({"m": ["mit | x11"], "n": ["[a|b] c"]}, {})
+    assert scanner("under x11 now")[5] == "m" and scanner("b c")[5] == "n" and scanner("nothing")[5] == ""
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard", "op2_fingerprints", "op6_quality_rules", "op7_mixing", "op8_substring_dedup", "op10_licenses"])
+def test_queries_against_their_sql(spark, name):
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    plain = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
+    assert plain(map(tuple, df.select(*cols).collect())) == plain(duck.sql(f"select {', '.join(cols)} from ({queries.ORACLE_SQL[name]})").fetchall())
+
+
+def test_repeated_rows_are_judged_each_by_itself(spark):
+    rows = [(1, "the mit license of a b c"), (1, "the mit license of a b c"), (None, "x y"), (None, "x y"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for f in (quality_rules.judge, licenses.scan, winnowing.edit_comparison, winnowing.fingerprints, substring_dedup.dedup, lambda d: bpe.digests(bpe.decode(bpe.encode(d, PATH), PATH)), lambda d: token_counts.count_tokens(d, PATH)):
+        got = [r["doc_id"] for r in f(df).collect()]
+        assert sorted(map(str, got)) == ["1", "1", "2", "None", "None"]
+
+
 def test_empty_tables(empty):
     for f in (ngram_join.per_row, substring_dedup.dedup, winnowing.edit_comparison, winnowing.fingerprints, quality_rules.judge, mixing.taken, mixing.mixed_documents, licenses.scan, lambda d: bpe.digests(bpe.decode(bpe.encode(d, PATH), PATH)), lambda d: token_counts.count_tokens(d, PATH)):
         assert f(empty).count() == 0

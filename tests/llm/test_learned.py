@@ -1,10 +1,15 @@
 """Classifiers by held-out accuracy, segment search against all segments, and the pipeline."""
 
+import math
 import random
 
+import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from gridloom.llm import quality_knn, toxicity
+from gridloom.llm import quality_knn, stages, toxicity
 
 from . import brute
 from .conftest import SF
@@ -52,6 +57,83 @@ def test_maximal_segments():
         assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
+def test_segment_scan_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        toxicity.maximal_segments([(4 * i, 1.0 + i % 3 / 10) for i in range(n)], 4 * n)
+        return time.perf_counter() - began
+
+    assert seconds(64_000) < 16 * max(0.01, seconds(8_000))
+
+
+def test_toxicity_score_by_definition():
+    m = toxicity.Model({"bad$": (2.0, 9.0), "wor": (1.5, 8.0)}, 0.9, 0.02, [-3.0, 0.4, 0.8, 0.5])
+    scorer = toxicity.Scorer(m)
+    rng = random.Random(11)
+    for _ in range(100):
+        words = [rng.choice(["bad", "worse", "fine", "so", "Bad"]) for _ in range(rng.randrange(0, 60))]
+        values = {"bad": 2.0, "worse": 1.5}
+        scores = [(i, values[w.lower()]) for i, w in enumerate(words) if w.lower() in values]
+        worth = [m.rate * s - math.log(m.k * max(1, len(words))) for *_, s in toxicity.maximal_segments(scores, len(words))]
+        sure = [v for v in worth if v >= -math.log(toxicity.SIGNIFICANT)]
+        x = -3.0 + 0.4 * min(20.0, max([0.0, *worth])) + 0.8 * math.log1p(len(sure)) + 0.5 * math.log1p(sum(sure))
+        features, found, n, _ = scorer.evidence(" ".join(words))
+        assert scorer.score(features) == pytest.approx(1 / (1 + math.exp(-x))) and len(found) == len(sure) and n == len(words)
+
+
+def test_toxicity_fit_by_definition(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["apple", "pear", "plum"] + ["vile"] * (3 * (i % 3 == 0)) + ["vile"] * (rng.random() < 0.1)) for _ in range(30)), int(i % 3 == 0)) for i in range(90)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    has = lambda f, y: sum(any(f in toxicity.forms(w) for w in t.split()) for _, t, k in rows if k == y)
+    t, o, nt, no = has("vile$", 1), has("vile$", 0), 30, 60
+    prior = (t + o) / 90 * toxicity.PRIOR
+    odds = lambda x, n: math.log((x + prior) / (n + toxicity.PRIOR - x - prior + 1e-9))
+    assert model.scores["vile$"][0] == pytest.approx(odds(t, nt) - odds(o, no)) and "apple$" not in model.scores
+
+
+def test_vote_by_definition():
+    rng = np.random.default_rng(5)
+    a = rng.random((60, quality_knn.WORDS + quality_knn.SHAPES)).astype(np.float32) * (rng.random((60, 1)) < 0.9)
+    basis = rng.standard_normal((a.shape[1], 6)).astype(np.float32)
+    idf = np.ones(a.shape[1], np.float32)
+    vectors = quality_knn.unit(quality_knn.weighted(a, idf) @ basis)
+    y = (rng.random(60) < 0.5).astype(float)
+    model = quality_knn.Model(idf, basis, vectors, y, float(y.mean()))
+    got = quality_knn.vote(model, a[:20])
+    for x, score in zip(a[:20], got, strict=True):
+        v = quality_knn.weighted(x[None], idf)[0] @ basis
+        cosines = [float(v @ u / max(np.linalg.norm(v), 1e-9)) for u in vectors]
+        near = sorted(range(60), key=lambda k: -cosines[k])[: quality_knn.NEIGHBOURS]
+        weights = [max(cosines[k], 1e-3) ** quality_knn.POWER for k in near]
+        if np.linalg.norm(v) > 0:
+            assert score == pytest.approx(sum(w * y[k] for w, k in zip(weights, near, strict=True)) / sum(weights), abs=1e-4)
+    assert (quality_knn.vote(quality_knn.Model(idf, basis, vectors[:0], y[:0], 0.5), a[:3]) == 0.5).all()
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, odd_rows, empty, tmp_path):
+    import corpus_pipeline
+
+    again = odd.unionByName(odd.filter("doc_id in (4, 6, 9, 12)")).unionByName(odd.filter("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
+    prose = "the house of stone and the road to it " + " ".join(f"word{k}" for k in range(60))
+    again = again.unionByName(odd.filter("doc_id = 8").withColumns({"doc_id": F.lit(99).cast("long"), "text": F.lit(prose)}))
+    for case in (again, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, case, SF)
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+            assert (out.count() > 0) == (case is again), name
+        encoded = corpus_pipeline.STAGES[-1][1](spark, case, SF).collect()
+        assert len(encoded) == case.count()
+    kept = stages.near_duplicate_stage(spark, again, SF).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in kept} == {None: 1, 99: 1} | {i: 1 + (i in (4, 6, 9, 12)) for i, (_, c) in brute.jaccard_components(odd_rows).items() if c == i}
+    for k, case in enumerate((again, empty)):
+        at = str(tmp_path / str(k))
+        case.write.parquet(f"{at}/documents.parquet")
+        assert (corpus_pipeline.run(spark, at).count() > 0) == (case is again)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -70,4 +152,12 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"]: brute.sha(" ".join(brute.WORD.findall(r["text"]))) for r in cut.collect()} == want
     mixed = corpus_pipeline.STAGES[3][1](spark, cut, SF)
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= set(want)
-    assert corpus_pipeline.run(spark, SF).count() == mixed.count()
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lib.no_truncation()
+    lib.no_padding()
+    want = []
+    for r in mixed.collect():
+        ids = lib.encode(r["text"], add_special_tokens=False).ids
+        want.append((r["doc_id"], len(ids), brute.sha(",".join(map(str, ids))), brute.sha(lib.decode(ids, skip_special_tokens=False))))
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()]
+    assert sorted(got) == sorted(want)
