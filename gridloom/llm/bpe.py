@@ -28,7 +28,7 @@ from .common import int_lists, map_batches, small_batches, spark_of, texts
 RARE_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks that a worker keeps; beyond it starts anew. Bounds memory, not results.
-CACHE = 400_000
+CACHE = 200_000
 #: Fixed value: the public pattern that byte-level vocabularies of this kind pre-tokenize by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Below this character the two libraries' Unicode tables agree on what is a letter, a number or a space.
@@ -171,8 +171,8 @@ class TreeEncoder:
 class Decoder:
     """ids to text as the library decodes them, special tokens kept: their bytes in order, bad UTF-8 replaced."""
 
-    def __init__(self, path: str):
-        lib = Tokenizer.from_file(path)
+    def __init__(self, path: str, lib: Tokenizer | None = None):
+        lib = lib or Tokenizer.from_file(path)
         back = {c: b for b, c in enumerate(byte_alphabet())}
         self.table: list[bytes] = [b""] * (max(lib.get_vocab().values()) + 1)
         for t, i in lib.get_vocab().items():
@@ -213,6 +213,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), make, "doc_id long, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
+    """decode(encode(docs)) in one pass: doc_id, ids, decoded. One worker a task does both, with one vocabulary in memory."""
+    small_batches(spark_of(docs), 500, 8)
+
+    def make():
+        enc = TreeEncoder(path, leaf)
+        dec = Decoder(path, enc.lib)
+
+        def step(b: pa.RecordBatch) -> pa.RecordBatch:
+            rows = enc.ids([t or "" for t in b.column(1).to_pylist()])
+            out = [dec(array("i", r)) for r in rows]
+            return pa.RecordBatch.from_arrays([b.column(0), int_lists(rows), pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
+
+        return step
+
+    return map_batches(texts(docs, id_col, text_col), make, "doc_id long, ids array<int>, decoded string")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode and decode returned."""
     return decoded.select(

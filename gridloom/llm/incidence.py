@@ -1,6 +1,6 @@
 """Blocks of the sparse incidence matrix of documents by n-grams, dealt out by column range.
 
-An entry is (hash of an n-gram, document, payload). A map task packs the entries of about a million n-grams into one compressed
+An entry is (hash of an n-gram, document, payload). A map task packs the entries of a few hundred thousand n-grams into one compressed
 block for each column range; a reduce task gets all blocks of its range. Entries never become Spark rows. Hashes keep all 64 bits.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that a map task gathers before it packs them.
-FLUSH = 1_000_000
+FLUSH = 300_000
 #: Bytes of text for each column range: about a million entries. While there are fewer ranges than shuffle partitions they may be smaller.
 RANGE_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
 
@@ -39,7 +39,7 @@ class WordHashes(dict):
     """Word to 64-bit hash, kept up to a number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -28,7 +28,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.decode(bpe.encode(documents(spark, sf_dir), path), path))
+    return bpe.digests(bpe.round_trip(documents(spark, sf_dir), path))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
