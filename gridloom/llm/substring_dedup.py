@@ -97,21 +97,24 @@ class SuffixAutomaton:
     def covered(self, words: list[bytes], doc: int) -> np.ndarray:
         """Which words lie in a window that an owner smaller than doc has."""
         ends = []
-        nxt, link, ln, n = self.next, self.link, self.len, self.length
-        state = matched = 0
+        nxt, link, ln, n, least, short = self.next, self.link, self.len, self.length, self.least, self.short
+        root = nxt[0]
+        arcs, state, matched = root, 0, 0
         for i, w in enumerate(words):
-            to = nxt[state].get(w)
+            to = arcs.get(w)
             if to is None:
+                if not state:  # most words of a text that shares little
+                    continue
                 while state and to is None:
                     state = link[state]
                     to = nxt[state].get(w)
                 if to is None:
-                    matched = 0
+                    arcs, matched = root, 0
                     continue
                 matched = ln[state]
-            state = to
+            state, arcs = to, nxt[to]
             matched += 1
-            if matched >= n and self.least[self.short[state]] < doc:
+            if matched >= n and least[short[to]] < doc:
                 ends.append(i)
         step = np.zeros(len(words) + 1, np.int32)
         if ends:
@@ -121,6 +124,14 @@ class SuffixAutomaton:
         return np.cumsum(step[:-1]) > 0
 
 
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs (a, b), in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    return a[new], b[new]
+
+
 def window_blocks(docs: DataFrame, length: int, n_ranges: int, n_buckets: int) -> DataFrame:
     """(r, blob): r >= 0 holds window entries of a column range; r < 0 what a map task could decide by itself."""
 
@@ -135,18 +146,17 @@ def window_blocks(docs: DataFrame, length: int, n_ranges: int, n_buckets: int) -
             doc = np.repeat(np.array([d for d, _ in held], np.int64), [len(x) for _, x in held])
             pos = np.concatenate([np.arange(len(x)) for _, x in held])
             held, size = [], 0
-            order = np.lexsort((pos, doc, h))
+            order = np.lexsort((pos, doc))
+            order = order[np.argsort(h[order], kind="stable")]
             h, doc, pos = h[order], doc[order], pos[order]
             first = np.r_[True, h[1:] != h[:-1]]
             owner = np.flatnonzero(first)[np.cumsum(first) - 1]
             later = doc != doc[owner]  # other documents of this block hold the window, too
             rs, blobs = [], []
             if later.any():
-                refs = np.unique(np.stack([doc[owner[later]], pos[owner[later]]], 1), axis=0)
-                needs = np.unique(np.stack([doc[owner[later]], bucket_of_doc(doc[later], n_buckets)], 1), axis=0)
+                packed = pack(*distinct(doc[owner[later]], pos[owner[later]]))
                 rs.append(-1 - serial % n_ranges)
-                packed = pack(*refs.T)
-                blobs.append(len(packed).to_bytes(4, "little") + packed + pack(*needs.T))
+                blobs.append(len(packed).to_bytes(4, "little") + packed + pack(*distinct(doc[owner[later]], bucket_of_doc(doc[later], n_buckets))))
             serial += 1
             h, doc, pos = h[first], doc[first], pos[first]
             r = range_of(h, n_ranges)
@@ -195,10 +205,9 @@ def shared_windows(blocks: DataFrame, n_buckets: int) -> DataFrame:
             later = doc != doc[owner]
             ro, rp = doc[owner[later]], pos[owner[later]]
             no, nb = doc[owner[later]], bucket_of_doc(doc[later], n_buckets)
-        refs, needs = np.unique(np.stack([ro, rp], 1), axis=0), np.unique(np.stack([no, nb], 1), axis=0)
-        both = np.concatenate([refs, needs])
-        kind = np.r_[np.zeros(len(refs), np.int32), np.ones(len(needs), np.int32)]
-        return pa.table({"kind": pa.array(kind, pa.int32()), "owner": pa.array(both[:, 0], pa.int64()), "value": pa.array(both[:, 1], pa.int64())})
+        (ro, rp), (no, nb) = distinct(ro, rp), distinct(no, nb)
+        kind = np.r_[np.zeros(len(ro), np.int32), np.ones(len(no), np.int32)]
+        return pa.table({"kind": pa.array(kind, pa.int32()), "owner": pa.array(np.r_[ro, no], pa.int64()), "value": pa.array(np.r_[rp, nb], pa.int64())})
 
     return blocks.groupBy("r").applyInArrow(reduce, "kind int, owner long, value long")
 

@@ -17,6 +17,10 @@ from .bpe import PATTERN, TreeEncoder, byte_alphabet
 from .common import map_batches, small_batches, spark_of, texts
 
 
+#: Chunks and missed pre-tokens whose lengths a worker keeps: a number each.
+CHUNKS = 400_000
+
+
 def frequent_lengths(path: str) -> dict[str, int]:
     """Pre-token to number of tokens, for each vocabulary entry that is one pre-token by the file's rule."""
     lib = Tokenizer.from_file(path)
@@ -55,7 +59,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     table = spark.sparkContext.broadcast(frequent_lengths(path))
 
     def make():
-        enc = TreeEncoder(path)
+        enc = TreeEncoder(path, cache=CHUNKS)
         lengths = enc.coder(Lengths(enc, table.value))
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
