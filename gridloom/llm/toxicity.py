@@ -6,7 +6,8 @@ most certain significant form, any other word a fixed penalty. A linear scan (Ru
 maximal segments of positive score. Their scores are calibrated by the extreme-value law: lambda solves sum p e^(lambda s) = 1 over
 the scores of clean text, K is the rate of segments there above their median score, and a segment is significant when the number
 expected by chance, K m e^(-lambda S), is small. A logistic curve over calibrated scores alone - what the best segment is worth, how many are
-significant and what those are worth together - gives the document's score.
+significant, what those are worth together, and by how much the r-th best of all segments is above what the law expects of the r-th - gives
+the document's score.
 """
 
 from __future__ import annotations
@@ -114,7 +115,10 @@ class Scorer:
         sure = [(a, e, s) for (a, e, s), w in zip(segments, worth, strict=True) if w[2] >= limit]
         values = [w[2] for w in worth]
         best = max(0.0, max(values, default=0.0))
-        return [1.0, min(best, 20.0), math.log1p(len(sure)), math.log1p(sum(v for v in values if v >= limit))], sure, n, len(segments)
+        # all segments together: their sum against what the law expects of as many of a clean text, order by order
+        ranked = sorted(values, reverse=True)
+        total = sum(v + math.log(r) for r, v in enumerate(ranked, 1) if v + math.log(r) > 0)
+        return [1.0, min(best, 20.0), math.log1p(len(sure)), math.log1p(sum(v for v in values if v >= limit)), math.log1p(total)], sure, n, len(segments)
 
     def score(self, features: list[float]) -> float:
         x = sum(a * b for a, b in zip(self.m.weights, features, strict=True))
@@ -170,7 +174,7 @@ def fit(train: DataFrame) -> Model:
     odds = lambda x, n: F.log((F.col(x) + prior) / (F.lit(n + PRIOR) - F.col(x) - prior + 1e-9))
     ranked = sums.filter(F.col("t") >= MIN_SUPPORT).withColumn("d", odds("t", nt) - odds("o", no)).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("o") + prior)))
     top = ranked.filter((F.col("z") >= MIN_Z) & (F.col("d") > 1)).orderBy(F.desc("z"), "form").limit(MAX_FEATURES).collect()
-    model = Model({r["form"]: (r["d"], r["z"]) for r in top}, 1.0, 0.1, [0.0] * 4)
+    model = Model({r["form"]: (r["d"], r["z"]) for r in top}, 1.0, 0.1, [0.0] * 5)
 
     def survey():
         scorer = Scorer(model)

@@ -69,7 +69,7 @@ def test_segment_scan_is_linear():
 
 
 def test_toxicity_score_by_definition():
-    m = toxicity.Model({"bad$": (2.0, 9.0), "wor": (1.5, 8.0)}, 0.9, 0.02, [-3.0, 0.4, 0.8, 0.5])
+    m = toxicity.Model({"bad$": (2.0, 9.0), "wor": (1.5, 8.0)}, 0.9, 0.02, [-3.0, 0.4, 0.8, 0.5, 0.3])
     scorer = toxicity.Scorer(m)
     rng = random.Random(11)
     for _ in range(100):
@@ -78,7 +78,8 @@ def test_toxicity_score_by_definition():
         scores = [(i, values[w.lower()]) for i, w in enumerate(words) if w.lower() in values]
         worth = [m.rate * s - math.log(m.k * max(1, len(words))) for *_, s in toxicity.maximal_segments(scores, len(words))]
         sure = [v for v in worth if v >= -math.log(toxicity.SIGNIFICANT)]
-        x = -3.0 + 0.4 * min(20.0, max([0.0, *worth])) + 0.8 * math.log1p(len(sure)) + 0.5 * math.log1p(sum(sure))
+        total = sum(max(0.0, v + math.log(r + 1)) for r, v in enumerate(sorted(worth, reverse=True)))
+        x = -3.0 + 0.4 * min(20.0, max([0.0, *worth])) + 0.8 * math.log1p(len(sure)) + 0.5 * math.log1p(sum(sure)) + 0.3 * math.log1p(total)
         features, found, n, _ = scorer.evidence(" ".join(words))
         assert scorer.score(features) == pytest.approx(1 / (1 + math.exp(-x))) and len(found) == len(sure) and n == len(words)
 
