@@ -94,28 +94,49 @@ class SuffixAutomaton:
             if self.len[p] >= self.length:
                 self.short[v] = self.short[p]
 
+    def open_stretches(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """Stretches of words outside which no window matches, each a window's length at least.
+
+        A window of ``length`` words holds a whole block of ``half`` words at a multiple of ``half``, so that it lies within reach of a
+        block that the automaton has. Most blocks fail at their first words.
+        """
+        nxt, n, half = self.next, self.length, (self.length + 1) // 2
+        root, out = nxt[0], []
+        for k in range(0, len(words) - half + 1, half):
+            arcs = root
+            for w in words[k : k + half]:
+                to = arcs.get(w)
+                if to is None:
+                    break
+                arcs = nxt[to]
+            else:
+                a, b = max(0, k + half - n), min(len(words), k + n)
+                if out and a <= out[-1][1]:
+                    out[-1] = (out[-1][0], b)
+                else:
+                    out.append((a, b))
+        return out
+
     def covered(self, words: list[bytes], doc: int) -> np.ndarray:
         """Which words lie in a window that an owner smaller than doc has."""
         ends = []
         nxt, link, ln, n, least, short = self.next, self.link, self.len, self.length, self.least, self.short
-        root = nxt[0]
-        arcs, state, matched = root, 0, 0
-        for i, w in enumerate(words):
-            to = arcs.get(w)
-            if to is None:
-                if not state:  # most words of a text that shares little
-                    continue
-                while state and to is None:
+        for begin, end in self.open_stretches(words):
+            state = matched = 0
+            for i in range(begin, end):
+                w = words[i]
+                to = nxt[state].get(w)
+                while to is None and state:
                     state = link[state]
+                    matched = ln[state]
                     to = nxt[state].get(w)
                 if to is None:
-                    arcs, matched = root, 0
+                    matched = 0
                     continue
-                matched = ln[state]
-            state, arcs = to, nxt[to]
-            matched += 1
-            if matched >= n and least[short[to]] < doc:
-                ends.append(i)
+                state = to
+                matched += 1
+                if matched >= n and least[short[to]] < doc:
+                    ends.append(i)
         step = np.zeros(len(words) + 1, np.int32)
         if ends:
             at = np.array(ends)
@@ -251,7 +272,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     shards = shared.filter("kind = 1").select("owner", F.col("value").alias("bucket")).distinct().join(spans, "owner")
     extra = [f"_carried_{i}" for i in range(len(carry))]
     placed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(x) for c, x in zip(carry, extra, strict=True)])
-    placed = placed.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n_buckets)))
+    placed = placed.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(n_buckets)))
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
         auto = SuffixAutomaton(length)

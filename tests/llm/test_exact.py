@@ -304,3 +304,23 @@ def test_repeated_rows_are_judged_each_by_itself(spark):
 def test_empty_tables(empty):
     for f in (ngram_join.per_row, substring_dedup.dedup, winnowing.edit_comparison, winnowing.fingerprints, quality_rules.judge, mixing.taken, mixing.mixed_documents, licenses.scan, lambda d: bpe.digests(bpe.decode(bpe.encode(d, PATH), PATH)), lambda d: token_counts.count_tokens(d, PATH)):
         assert f(empty).count() == 0
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 6, 13])
+def test_automaton_covers_windows_of_smaller_owners(length):
+    rng = np.random.default_rng(length)
+    for _ in range(60):
+        letters = int(rng.integers(1, 5))
+        draw = lambda n: [b"abcd"[c : c + 1] for c in rng.integers(0, letters, n)]  # noqa: E731, B023
+        spans = [(int(rng.integers(0, 4)), draw(int(rng.integers(length, 3 * length + 2)))) for _ in range(3)]
+        words = draw(40) + spans[0][1] + draw(7) + spans[1][1][: length + 1] + draw(3)
+        auto = substring_dedup.SuffixAutomaton(length)
+        for owner, span in spans:
+            auto.add(span, owner)
+        auto.close()
+        known = {tuple(span[i : i + length]) for owner, span in spans if owner < 2 for i in range(len(span) - length + 1)}
+        gone = [False] * len(words)
+        for i in range(len(words) - length + 1):
+            if tuple(words[i : i + length]) in known:
+                gone[i : i + length] = [True] * length
+        assert auto.covered(words, 2).tolist() == gone
