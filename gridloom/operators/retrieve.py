@@ -73,11 +73,11 @@ class CharTfidf(Retriever):
         norm = weighted.groupBy("chunk_id").agg(F.greatest(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)), F.lit(1e-9)).alias("norm"))
         query_weights = self._unit(wanted.join(idf, "gram"), "query_id").withColumnRenamed("w", "wq")
         hits = weighted.join(small(query_weights), "gram").groupBy("query_id", "chunk_id").agg(F.sum(F.col("wq") * F.col("tf") * F.col("idf")).alias("dot"))
-        # rounded, so that the order of sums does not decide between equal texts
-        return hits.join(norm, "chunk_id").select("query_id", "chunk_id", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+        return hits.join(norm, "chunk_id").select("query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score"))
 
     def rank(self, queries: DataFrame, chunks: DataFrame, top: int | None = None) -> DataFrame:
-        s = self.scores(queries, chunks)
+        # rounded, so that the order of sums does not decide between equal texts
+        s = self.scores(queries, chunks).withColumn("score", F.round("score", 9))
         if self.all_chunks:  # the stated queries against every chunk
             every = chunks.select("chunk_id").join(small(queries.select("query_id")))
             s = every.join(s, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

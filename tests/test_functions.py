@@ -97,6 +97,15 @@ def test_retrieval(spark):
     assert isinstance(build_retriever(CharTfidf(), hybrid=True), HybridRRF)
 
 
+def test_tfidf_scores_are_rounded_once(spark, tmp_path):
+    # every text has every gram, so that idf is 1: cosines 27 / sqrt(2412) = 0.5497624996 and 30 / sqrt(3402) = 0.5143444998
+    near, far = "a" * 29 + "b" * 43, "a" * 32 + "b" * 52
+    spark.createDataFrame([(1, far), (2, near), (3, near)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "aaa")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = queries.tfidf_rank_top5(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(7, 2, 1, 0.549762), (7, 3, 2, 0.549762), (7, 1, 3, 0.514344)]
+
+
 def test_budget(spark):
     ranks = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3)], "query_id long, chunk_id long, rank int")
     lengths = spark.createDataFrame([(1, 50), (2, 40), (3, 30)], "chunk_id long, len int")
