@@ -83,8 +83,14 @@ def grams(column: str, n: int = 3) -> Column:
     return F.expr(f"transform(array({t}), t -> CASE WHEN length(t) >= {n} THEN transform(sequence(1, length(t) - {n - 1}), i -> substring(t, i, {n})) ELSE array() END)[0]")
 
 
-def document_frequencies(df: DataFrame, column: str) -> DataFrame:
-    """(gram, df): how many rows have each of grams()'s trigrams. Tasks count as three code points in one number, without a row a gram."""
+def trigram_codes(t: str | None) -> np.ndarray:
+    """A text's trigrams in their order, each as three code points in one number."""
+    p = np.frombuffer((t or "").encode("utf-32-le"), "<u4").astype(np.int64)
+    return p[:-2] << 42 | p[1:-1] << 21 | p[2:]
+
+
+def coded_frequencies(df: DataFrame, column: str) -> DataFrame:
+    """(code, df): how many rows have each of grams()'s trigrams, as trigram_codes gives them. Tasks count without a row a gram."""
     importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,15 +99,11 @@ def document_frequencies(df: DataFrame, column: str) -> DataFrame:
 
         def counted() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(held), return_counts=True)
-            points = np.stack([code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF], axis=1).astype("<u4")
-            return pa.RecordBatch.from_arrays([pa.array([p.tobytes().decode("utf-32-le") for p in points], pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                p = np.frombuffer((t or "").encode("utf-32-le"), "<u4").astype(np.int64)
-                if len(p) < 3:
-                    continue
-                held.append(np.unique(p[:-2] << 42 | p[1:-1] << 21 | p[2:]))
+            for t in b.column(0):
+                held.append(np.unique(trigram_codes(t.as_py())))
                 size += len(held[-1])
                 if size >= 1_000_000:
                     yield counted()
@@ -109,7 +111,19 @@ def document_frequencies(df: DataFrame, column: str) -> DataFrame:
         if held:
             yield counted()
 
-    return df.select(F.expr(squeezed(column)).alias("t")).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("df"))
+    return df.select(F.expr(squeezed(column)).alias("t")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("df"))
+
+
+def document_frequencies(df: DataFrame, column: str) -> DataFrame:
+    """(gram, df): how many rows have each of grams()'s trigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = b.column(0).to_numpy(zero_copy_only=False)
+            points = np.stack([code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF], axis=1).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes().decode("utf-32-le") for p in points], pa.string()), b.column(1)], ["gram", "df"])
+
+    return coded_frequencies(df, column).mapInArrow(run, "gram string, df long")
 
 
 def fixed_pieces(column: str, size: int) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import importable
+from ..session import importable, small_batches  # noqa: F401
 
 #: The only separators of words in these operators: space, tab, newline, vertical tab, form feed, carriage return.
 WORD_BREAKS = " \t\n\x0b\f\r"
@@ -28,15 +28,6 @@ def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 32) -> None:
-    """Bound an Arrow batch by rows and bytes, so that a worker's memory does not follow the length of texts.
-
-    Plans read these two settings when they run, later than the call that builds them: they stay set in the session.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, by their own names; whatever other columns there are cannot clash with results."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -6,17 +6,24 @@ exist; the chunks a query shares nothing with are ranked after them only on requ
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import grams
+from ..functions.text import coded_frequencies, grams, squeezed, trigram_codes
+from ..session import importable, small_batches, stored
 
 #: Query-side rows up to which they are broadcast.
 BROADCAST_ROWS = 200_000
+#: Distinct grams of all chunks, and numbers of a dense query matrix, up to which tasks get them whole (64 MB each).
+BROADCAST_GRAMS, BROADCAST_CELLS = 4_000_000, 8_000_000
+#: Texts that are multiplied with all queries at once.
+BLOCK = 256
 NO_TEXT = "the hybrid needs a dense part"
 
 
@@ -30,6 +37,43 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def rounded(x: np.ndarray, places: int) -> np.ndarray:
+    """Halves away from zero, as SQL does."""
+    v = np.abs(x) * 10.0**places
+    low = np.floor(v)
+    return np.copysign((low + (v - low >= 0.5)) / 10.0**places, x)
+
+
+class Best:
+    """Each query's first ``top`` pairs of those seen so far, by falling rounded score and then by id."""
+
+    def __init__(self, n_queries: int, top: int, places: int):
+        self.top, self.places, self.margin = top, places, 2 * 10.0**-places
+        self.kth = np.full(n_queries, -np.inf)
+        self.held: list[list[tuple[float, object]]] = [[] for _ in range(n_queries)]
+
+    def add(self, ids: list, scores: np.ndarray, exact: Callable[[int, np.ndarray], np.ndarray] | None = None, seen: np.ndarray | None = None) -> None:
+        """``scores``: a row a query, a column an id; off by far less than the last place where ``exact`` gives them again. ``seen``: pairs that count."""
+        near = scores >= self.kth[:, None] - self.margin
+        if seen is not None:
+            near &= seen
+        for q in np.flatnonzero(near.any(axis=1)):
+            at = np.flatnonzero(near[q])
+            if len(at) > 4 * self.top:  # only those that can be among the first
+                at = at[scores[q, at] >= np.partition(scores[q, at], -self.top)[-self.top] - self.margin]
+            s = rounded(exact(q, at) if exact else scores[q, at], self.places)
+            found = self.held[q] + [(-x, ids[k]) for x, k in zip(s.tolist(), at.tolist(), strict=True)]
+            found.sort()
+            self.held[q] = found[: self.top]
+            if len(found) >= self.top:
+                self.kth[q] = -self.held[q][-1][0]
+
+    def rows(self, query_ids: list) -> tuple[list, list, list]:
+        """query_id, chunk_id, score."""
+        got = [(i, c, -s) for i, h in zip(query_ids, self.held, strict=True) for s, c in h]
+        return tuple(map(list, zip(*got, strict=True))) if got else ([], [], [])
+
+
 class Retriever:
     """rank(queries (query_id, q), chunks (chunk_id, text)) -> query_id, chunk_id, rank."""
 
@@ -75,6 +119,71 @@ class CharTfidf(Retriever):
         hits = weighted.join(small(query_weights), "gram").groupBy("query_id", "chunk_id").agg(F.sum(F.col("wq") * F.col("tf") * F.col("idf")).alias("dot"))
         return hits.join(norm, "chunk_id").select("query_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score"))
 
+    def best(self, queries: DataFrame, chunks: DataFrame, top: int, places: int = 9) -> DataFrame:
+        """query_id, chunk_id, score (rounded): all pairs that can be among each query's first ``top``, which tasks find from whole texts.
+
+        Two passes over the texts, one for the frequencies; no row a gram or a pair exists. Where the grams or queries are
+        too many for each task to hold, the pairs are those of scores().
+        """
+        spark = chunks.sparkSession
+        importable(spark)
+        small_batches(spark)
+        plain = lambda: self.scores(queries, chunks).withColumn("score", F.round("score", places))
+        if self.n != 3:
+            return plain()
+        df = stored(coded_frequencies(chunks, "text"), "frequencies")
+        n_grams, asked = df.count(), queries.select("query_id", F.expr(squeezed("q")).alias("t"))
+        if n_grams > BROADCAST_GRAMS or asked.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+            return plain()
+        known = df.toArrow().sort_by("code")
+        code, n = known["code"].to_numpy(), chunks.count()
+        idf = np.log((1 + n) / (1 + known["df"].to_numpy())) + 1
+
+        def weights(t: str | None) -> tuple[np.ndarray, np.ndarray]:
+            """Places of a text's known grams, and their weights."""
+            g, tf = np.unique(trigram_codes(t), return_counts=True)
+            at = np.searchsorted(code, g)
+            ok = at < len(code)
+            ok[ok] = code[at[ok]] == g[ok]
+            return at[ok], tf[ok] * idf[at[ok]]
+
+        rows = asked.collect()
+        ids, sparse = [r["query_id"] for r in rows], [weights(r["t"]) for r in rows]
+        used = np.unique(np.concatenate([np.zeros(0, np.int64), *(at for at, _ in sparse)]))
+        if len(rows) * len(used) > BROADCAST_CELLS:
+            return plain()
+        column = np.full(len(code), -1, np.int32)
+        column[used] = np.arange(len(used), dtype=np.int32)
+        matrix = np.zeros((len(rows), len(used)))
+        for k, (at, w) in enumerate(sparse):
+            matrix[k, column[at]] = w / max(np.sqrt((w * w).sum()), 1e-9)
+        held = spark.sparkContext.broadcast((code, idf, column, matrix, ids))
+        schema = queries.select("query_id").limit(0).crossJoin(chunks.select("chunk_id").limit(0)).withColumn("score", F.lit(0.0)).schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            code, idf, column, matrix, ids = held.value
+            found = Best(len(ids), top, places)
+            for b in batches:
+                for lo in range(0, b.num_rows, BLOCK):
+                    chunk_ids = b.column(0).slice(lo, BLOCK).to_pylist()
+                    dense, norm = np.zeros((len(chunk_ids), matrix.shape[1])), np.ones(len(chunk_ids))
+                    for k, t in enumerate(b.column(1).slice(lo, BLOCK)):
+                        g, tf = np.unique(trigram_codes(t.as_py()), return_counts=True)
+                        at = np.searchsorted(code, g)
+                        w = tf * idf[at]
+                        norm[k] = max(np.sqrt((w * w).sum()), 1e-9)
+                        c = column[at]
+                        dense[k, c[c >= 0]] = w[c >= 0]
+                    s = matrix @ dense.T / norm
+                    found.add(chunk_ids, s, seen=s > 0)
+            kind = to_arrow_schema(schema)
+            q, c, s = found.rows(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(q, kind[0].type), pa.array(c, kind[1].type), pa.array(s, pa.float64())], schema=kind)
+
+        return chunks.select("chunk_id", F.expr(squeezed("text")).alias("t")).mapInArrow(run, schema)
+
     def rank(self, queries: DataFrame, chunks: DataFrame, top: int | None = None) -> DataFrame:
         # rounded, so that the order of sums does not decide between equal texts
         s = self.scores(queries, chunks).withColumn("score", F.round("score", 9))

@@ -138,8 +138,7 @@ def docs_trigram_df(spark: SparkSession, sf: str) -> DataFrame:
 def tfidf_rank_top5(spark: SparkSession, sf: str) -> DataFrame:
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    s = CharTfidf().scores(q, d).withColumn("score", F.round("score", 6))
-    return ranked(s, 5).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+    return ranked(CharTfidf().best(q, d, 5, 6), 5).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
