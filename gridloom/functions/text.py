@@ -79,8 +79,9 @@ def squeezed(column: str) -> str:
 def grams(column: str, n: int = 3) -> Column:
     """Character n-grams of the lower-cased, squeezed text; none where it is shorter than n."""
     t = squeezed(column)
-    # bound once by the outer lambda: inside the inner one it would be made again for every gram
-    return F.expr(f"transform(array({t}), t -> CASE WHEN length(t) >= {n} THEN transform(sequence(1, length(t) - {n - 1}), i -> substring(t, i, {n})) ELSE array() END)[0]")
+    # split into characters once by the outer lambda: a place in a text is only found by a walk to it
+    gram = ", ".join(f"get(cs, i + {k})" for k in range(n))
+    return F.expr(f"transform(array(split({t}, '')), cs -> CASE WHEN size(cs) >= {n} THEN transform(sequence(0, size(cs) - {n}), i -> concat({gram})) ELSE cast(array() AS array<string>) END)[0]")
 
 
 def trigram_codes(t: str | None) -> np.ndarray:
@@ -128,7 +129,8 @@ def document_frequencies(df: DataFrame, column: str) -> DataFrame:
 
 def fixed_pieces(column: str, size: int) -> Column:
     """Pieces of ``size`` characters, the last one shorter; none of an empty text."""
-    return F.expr(f"CASE WHEN length({column}) > 0 THEN transform(sequence(0, cast((length({column}) - 1) div {size} AS int)), i -> substring({column}, i * {size} + 1, {size})) ELSE array() END")
+    # one walk through the text; substring would walk to each piece
+    return F.expr(f"coalesce(regexp_extract_all({column}, '(?s).{{1,{size}}}', 0), cast(array() AS array<string>))")
 
 
 def packed_sql(x: str, size: int) -> str:

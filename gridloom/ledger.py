@@ -44,7 +44,9 @@ def ledger_pages(spark: SparkSession, sf: str) -> DataFrame:
         "<h2>Customers</h2><p>One row a customer.</p><table><caption>Accounts</caption><tr><th>Segment<th>Customer<th>Balance', rows, '<tr><td colspan=3>" + NOTE + "', n_nationkey, '.</table>"
         "<h3>Contact</h3><table><tr><td>Office of ', n_name, '</table><h2>Rates</h2><table><tr><th>Item<th>Detail<th>Amount<tr><td>Fee<td><table><tr><td>inner ', n_nationkey, '</table><td>', 1000 + n_nationkey * 37, '</table></body></html>')"
     )
-    return n.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.expr(html).alias("html"))
+    # few and long: dealt out by number and by another key, as partitions of few bytes are put together, and an exchange by the join's key goes
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return n.repartition(parts, F.xxhash64("n_nationkey")).select(F.col("n_nationkey").cast("long").alias("doc_id"), F.expr(html).alias("html"))
 
 
 def longs(df: DataFrame, *names: str) -> DataFrame:

@@ -13,6 +13,8 @@ from .extract import blocks
 from .grid import markdown_sql, prose_sql, tables, units_sql
 
 MAX_CHARS = 900
+#: Starts of groups that are gathered before they count as a run.
+RUN = 256
 COLUMNS = ["doc_id", "chunk_no", "text", "context", "kind", "heading", "table_id", "row_start", "row_end", "oversize"]
 
 
@@ -41,15 +43,19 @@ def layout_chunks(t: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
 
 
 def starts_sql(items: str, budget: str) -> str:
-    """Where greedy packs begin: at each note, after a note, and where an item no longer fits. Only these places are gathered, so that the fold is linear."""
+    """Where greedy packs begin: at each note, after a note, and where an item no longer fits. Only these places are gathered, in
+    runs, as an array is copied whole for each place added to it."""
 
-    def state(starts: str, used: str, is_open: str) -> str:
-        return f"named_struct('starts', {starts}, 'used', {used}, 'open', {is_open}, 'k', a.k + 1)"
+    def state(grown: bool, used: str, is_open: str) -> str:
+        runs, starts = "a.runs", "a.starts"
+        if grown:
+            runs, starts = f"if(size(a.starts) < {RUN}, a.runs, concat(a.runs, array(a.starts)))", f"if(size(a.starts) < {RUN}, concat(a.starts, array(a.k)), array(a.k))"
+        return f"named_struct('runs', {runs}, 'starts', {starts}, 'used', {used}, 'open', {is_open}, 'k', a.k + 1)"
 
     size = "length(x.unit) + 1"
-    new = "concat(a.starts, array(a.k))"
-    step = f"(a, x) -> CASE WHEN x.note THEN {state(new, '0', 'false')} WHEN NOT a.open OR a.used + {size} > {budget} THEN {state(new, size, 'true')} ELSE {state('a.starts', 'a.used + ' + size, 'true')} END"
-    return f"aggregate({items}, named_struct('starts', cast(array() AS array<int>), 'used', 0, 'open', false, 'k', 0), {step}, a -> a.starts)"
+    step = f"(a, x) -> CASE WHEN x.note THEN {state(True, '0', 'false')} WHEN NOT a.open OR a.used + {size} > {budget} THEN {state(True, size, 'true')} ELSE {state(False, 'a.used + ' + size, 'true')} END"
+    none = "named_struct('runs', cast(array() AS array<array<int>>), 'starts', cast(array() AS array<int>), 'used', 0, 'open', false, 'k', 0)"
+    return f"aggregate({items}, {none}, {step}, a -> flatten(concat(a.runs, array(a.starts))))"
 
 
 def table_chunks(t: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -66,19 +72,20 @@ def table_chunks(t: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     unit = f"transform({units_sql('row', '_hc')}, u -> named_struct('note', false, 'i', i, 'unit', u))"
     d = d.withColumn("_items", F.expr(f"flatten(transform(_body, (row, i) -> if({prose_sql('row')}, {note}, {unit})))"))
     d = d.withColumn("_starts", F.expr(starts_sql("_items", "_budget")))
-    groups = d.select("*", F.posexplode(F.expr("transform(_starts, (s, g) -> slice(_items, s + 1, coalesce(get(_starts, g + 1), size(_items)) - s))")).alias("part", "_group"))
-    groups = groups.withColumn("_note", F.expr("_group[0].note"))
-    packs = groups.filter("NOT _note").withColumn("_rows", F.expr("array_distinct(transform(_group, x -> x.i))"))
-    table = packs.select(
+    # each group takes its own rows along: beside the whole table, every group would copy it
+    own = "slice(_items, s + 1, coalesce(get(_starts, g + 1), size(_items)) - s)"
+    group = "named_struct('note', own[0].note, 'units', transform(own, x -> x.unit), 'rows', array_distinct(transform(own, x -> x.i)), 'cells', transform(array_distinct(transform(own, x -> x.i)), i -> _body[i]))"
+    groups = d.select("doc_id", "block_no", "heading", "table_id", "labels", "_title", "_prefix", "_head", "_budget", F.posexplode(F.expr(f"transform(_starts, (s, g) -> transform(array({own}), own -> {group})[0])")).alias("part", "_group"))
+    table = groups.filter("NOT _group.note").select(
         "doc_id", "block_no", "part", F.lit(0).alias("sub"),
-        F.expr("concat(_head, '\\n', array_join(transform(_group, x -> x.unit), '\\n'))").alias("text"),
-        F.concat("_prefix", F.lit("\n"), F.expr(markdown_sql("transform(_rows, i -> _body[i])"))).alias("context"),
-        F.lit("table").alias("kind"), "heading", "table_id", F.expr("array_min(_rows)").alias("row_start"), F.expr("array_max(_rows) + 1").alias("row_end"),
-        F.expr("exists(_group, x -> length(x.unit) > _budget)").alias("oversize"),
+        F.expr("concat(_head, '\\n', array_join(_group.units, '\\n'))").alias("text"),
+        F.concat("_prefix", F.lit("\n"), F.expr(markdown_sql("_group.cells"))).alias("context"),
+        F.lit("table").alias("kind"), "heading", "table_id", F.expr("array_min(_group.rows)").alias("row_start"), F.expr("array_max(_group.rows) + 1").alias("row_end"),
+        F.expr("exists(_group.units, x -> length(x) > _budget)").alias("oversize"),
     )
-    notes = groups.filter("_note").select("*", F.posexplode(F.expr(packed_sql("_group[0].unit", max_chars))).alias("sub", "_piece"))
+    notes = groups.filter("_group.note").select("*", F.posexplode(F.expr(packed_sql("_group.units[0]", max_chars))).alias("sub", "_piece"))
     body = F.expr("if(_title <> '', concat(_prefix, '\\n', _piece), _piece)")
-    prose = notes.select("doc_id", "block_no", "part", "sub", body.alias("text"), body.alias("context"), F.lit("text").alias("kind"), "heading", "table_id", F.expr("_group[0].i").alias("row_start"), F.expr("_group[0].i + 1").alias("row_end"), F.lit(False).alias("oversize"))
+    prose = notes.select("doc_id", "block_no", "part", "sub", body.alias("text"), body.alias("context"), F.lit("text").alias("kind"), "heading", "table_id", F.expr("_group.rows[0]").alias("row_start"), F.expr("_group.rows[0] + 1").alias("row_end"), F.lit(False).alias("oversize"))
     return table.unionByName(prose)
 
 

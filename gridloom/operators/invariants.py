@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
+from ..functions.find import standing
+from ..session import importable, small_batches
 from .extract import source_cells
 from .grid import units
 
@@ -20,22 +26,54 @@ def conservation(extracted: DataFrame, t: DataFrame) -> DataFrame:
     return covered.join(claimed, ["doc_id", "table_id"], "left").withColumn("claimed", F.coalesce("claimed", F.lit(0)))
 
 
-def missing_tokens(texts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id, token: distinct tokens of texts (doc_id, text) that stand, as substrings, in no chunk of the document.
+def token_losses(texts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, lost: how many distinct tokens texts (doc_id, text) have, and those that stand, as substrings, in no chunk of the document, sorted.
 
-    A document's chunk text is gathered once, next to its tokens.
+    A document's chunk text is gathered once, next to its own; tokens that are no word of it are looked for together.
     """
-    tokens = F.array_distinct(F.filter(F.split("text", " "), lambda w: w != ""))
+    importable(texts.sparkSession)
+    small_batches(texts.sparkSession, mb=8)
     blob = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "text"))), lambda x: x["text"]), " ").alias("blob"))
-    both = texts.select("doc_id", tokens.alias("tokens")).join(blob, "doc_id", "left").withColumn("blob", F.coalesce("blob", F.lit("")))
-    return both.select("doc_id", F.explode(F.filter("tokens", lambda w: ~F.contains(F.col("blob"), w))).alias("token"))
+    both = texts.select("doc_id", "text").join(blob, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")), F.coalesce("blob", F.lit("")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_tokens, lost = [], []
+            for own, there in zip(b.column(1), b.column(2), strict=True):
+                there = there.as_py()
+                tokens = set(own.as_py().split(" ")) - {""}
+                n_tokens.append(len(tokens))
+                rest = sorted(tokens.difference(there.split(" ")))
+                ok = standing(rest, [there])
+                lost.append([w for w in rest if w not in ok])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(lost, pa.list_(pa.string()))], ["doc_id", "n_tokens", "lost"])
+
+    return both.mapInArrow(run, StructType([texts.schema["doc_id"], StructField("n_tokens", LongType()), StructField("lost", ArrayType(StringType()))]))
+
+
+def missing_tokens(texts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, token: a row for each token that token_losses has."""
+    return token_losses(texts, chunks).select("doc_id", F.explode("lost").alias("token"))
 
 
 def unbroken_rows(t: DataFrame, chunks: DataFrame) -> DataFrame:
     """doc_id, row_atomic: whether every unit of every data table stands whole in one chunk of that table."""
-    u = units(t.filter("is_data"))
+    importable(t.sparkSession)
+    small_batches(t.sparkSession, mb=8)
+    u = units(t.filter("is_data")).groupBy("doc_id", "table_id").agg(F.collect_list("unit").alias("units"))
     owned = chunks.filter("table_id >= 0").groupBy("doc_id", "table_id").agg(F.collect_list("text").alias("texts"))
-    held = u.join(owned, ["doc_id", "table_id"], "left").select("doc_id", F.coalesce(F.exists("texts", lambda c: F.contains(c, F.col("unit"))), F.lit(False)).alias("ok"))
+    both = u.join(owned, ["doc_id", "table_id"], "left").select("doc_id", "units", F.coalesce("texts", F.expr("cast(array() AS array<string>)")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for own, texts in zip(b.column(1), b.column(2), strict=True):
+                texts = texts.as_py()
+                rest = set(own.as_py()).difference(*(c.split("\n") for c in texts))
+                ok.append(standing(sorted(rest), texts) == rest)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ok, pa.bool_())], ["doc_id", "ok"])
+
+    held = both.mapInArrow(run, StructType([t.schema["doc_id"], StructField("ok", BooleanType())]))
     return held.groupBy("doc_id").agg(F.min("ok").alias("row_atomic"))
 
 
@@ -44,16 +82,16 @@ def invariants(extracted: DataFrame, t: DataFrame, chunks: DataFrame) -> DataFra
     rect = t.filter("size(grid) > 0").groupBy("doc_id").agg(F.min(F.expr("array_min(transform(grid, r -> size(r))) = array_max(transform(grid, r -> size(r)))")).alias("rectangular"))
     kept = conservation(extracted, t).groupBy("doc_id").agg(F.min(F.col("covered") == F.col("claimed")).alias("cell_conservation"))
     texts = extracted.select("doc_id", F.col("body_text").alias("text"))
-    lost = missing_tokens(texts, chunks).groupBy("doc_id").agg(F.count("*").alias("n_missing"), F.slice(F.sort_array(F.collect_list("token")), 1, 10).alias("missing_tokens"))
+    lost = token_losses(texts, chunks).select("doc_id", "n_tokens", F.size("lost").cast("long").alias("n_missing"), F.slice("lost", 1, 10).alias("missing_tokens"))
     counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count_if("oversize").alias("oversize_chunks"))
-    base = extracted.select("doc_id", F.size(F.array_distinct(F.filter(F.split("body_text", " "), lambda w: w != ""))).alias("n_tokens"), F.size("tables").cast("long").alias("n_tables"))
+    base = extracted.select("doc_id", F.size("tables").cast("long").alias("n_tables"))
     out = base
     for part in (rect, kept, lost, unbroken_rows(t, chunks), counts):
         out = out.join(part, "doc_id", "left")
     true, zero = F.lit(True), F.lit(0).cast("long")
     return out.select(
         "doc_id", F.coalesce("rectangular", true).alias("rectangular"), F.coalesce("cell_conservation", true).alias("cell_conservation"),
-        (1 - F.coalesce("n_missing", zero) / F.greatest(F.lit(1), "n_tokens")).alias("text_coverage"), F.coalesce("missing_tokens", F.expr("cast(array() AS array<string>)")).alias("missing_tokens"),
+        (1 - F.coalesce("n_missing", zero) / F.greatest(F.lit(1), F.coalesce("n_tokens", zero))).alias("text_coverage"), F.coalesce("missing_tokens", F.expr("cast(array() AS array<string>)")).alias("missing_tokens"),
         F.coalesce("row_atomic", true).alias("row_atomic"), F.coalesce("n_chunks", zero).alias("n_chunks"), "n_tables", F.coalesce("oversize_chunks", zero).alias("oversize_chunks"),
     )
 

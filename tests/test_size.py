@@ -1,9 +1,18 @@
 """What must not grow faster than the input, on small tables: the same results by the plain way."""
 
 import random
+import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions import find, text
+from gridloom.ledger import ledger_pages
+from gridloom.operators.chunk import flat, table_aware
+from gridloom.operators.extract import extract
+from gridloom.operators.grid import tables
+from gridloom.operators.invariants import invariants
 from gridloom.operators.retrieve import CharTfidf, ranked
 
 
@@ -18,3 +27,62 @@ def test_best_pairs_are_those_of_all_pairs(spark):
     best = tfidf.best(asked, chunks, 5, 6).persist()
     assert key(best) == key(tfidf.scores(asked, chunks).withColumn("score", F.round("score", 6)))
     assert best.count() <= 5 * 6 * 5  # a task gives 5 pairs a query, not one for each text
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_strings_that_stand_in_texts(monkeypatch, block):
+    rng = random.Random(3)
+    monkeypatch.setattr(find, "FEW", 0)
+    monkeypatch.setattr(find, "BLOCK", block)
+    for letters in ("ab", "abc\U0001f600", "ab 한") * 20:
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(4)]
+        wanted = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(30)] + [t[3:30] for t in texts if len(t) > 3]
+        assert find.standing(wanted, texts) == {w for w in wanted if any(w in t for t in texts)}
+
+
+def test_strings_of_one_hash_are_all_compared(monkeypatch):
+    mixed = find._mixed
+    monkeypatch.setattr(find, "FEW", 0)
+    monkeypatch.setattr(find, "_mixed", lambda a, b: mixed(a, b) & np.uint64(3))
+    assert find.standing(["abc", "bcd", "cde", "xyz", "yzx", "abd"], ["abcde", "yz", "x"]) == {"abc", "bcd", "cde"}
+
+
+def test_invariants_of_a_long_table(spark, monkeypatch):
+    """Against a plain count: tokens that chunks cut, rows that they break. Was quadratic: every row beside all chunks, every token through all text."""
+    rows = "".join(f"<tr><td>name-{k:05d}<td>{k * 37 % 9973 + 10},{k % 7}" for k in range(1500))
+    e = extract(spark.createDataFrame([(1, f"<body><table><tr><th>Key<th>Amount{rows}</table></body>"), (2, "")], "doc_id long, html string")).persist()
+    t = tables(e).persist()
+    whole, cut = table_aware(e, 400, t), flat(e, 400, t).withColumn("table_id", F.lit(0))
+    got = {r["doc_id"]: r for r in invariants(e, t, whole).collect()}
+    assert got[1]["row_atomic"] and got[1]["text_coverage"] == 1.0 and got[2]["n_chunks"] == 0
+    pieces = " ".join(r["text"] for r in cut.orderBy("chunk_no").collect())
+    body = e.filter("doc_id = 1").first()["body_text"]
+    lost = {w for w in body.split(" ") if w not in pieces}
+    r = {r["doc_id"]: r for r in invariants(e, t, cut).collect()}[1]
+    assert r["row_atomic"] is False and r["missing_tokens"] == sorted(lost)[:10] and r["text_coverage"] == 1 - len(lost) / len(set(body.split(" ")))
+
+
+def test_groups_carry_their_own_rows_only(spark):
+    """What the groups of a table hold together is of its size, however many they are."""
+    rows = "".join(f"<tr><td>name-{k:05d}<td>{k + 10}" for k in range(600))
+    e = extract(spark.createDataFrame([(1, f"<table><tr><th>Key<th>Amount{rows}</table>")], "doc_id long, html string"))
+    c = table_aware(e, 60).filter("kind = 'table'").persist()
+    plan = table_aware(e, 60)._jdf.queryExecution().sparkPlan().toString()
+    carried = [m[1] for line in plan.splitlines() if "Generate posexplode(transform(_starts" in line and (m := re.search(r"\), \[([^\]]*)\], false, \[part#", line))]
+    assert carried and not any(re.search("_body|grid|_items", x) for x in carried)
+    assert c.count() > 256  # more than one run of starts
+    assert [i for r in c.orderBy("chunk_no").collect() for i in range(r["row_start"], r["row_end"])] == list(range(600))
+    assert all(f"| name-{r['row_start']:05d} | {r['row_start'] + 10} |" in r["context"] for r in c.collect())
+
+
+def test_pieces_and_grams_of_long_texts(spark):
+    s = "a\nb\r\n\U0001f600한 " * 5000
+    one = spark.createDataFrame([(s,)], "s string").select(text.fixed_pieces("s", 7).alias("p"), text.grams("s").alias("g")).first()
+    low = re.sub(r"\s+", " ", s.lower())
+    assert one["p"] == [s[k : k + 7] for k in range(0, len(s), 7)] and one["g"] == [low[k : k + 3] for k in range(len(low) - 2)]
+
+
+def test_pages_are_dealt_over_tasks(spark):
+    """Nations' pages were one task's, as Spark took their table for a small one."""
+    p = ledger_pages(spark, "/root/testdata/sf0.01").select(F.spark_partition_id().alias("p")).distinct()
+    assert p.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
