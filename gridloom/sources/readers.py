@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import lossy_utf8
-from ..session import importable
+from ..session import importable, small_batches
 
 #: Encodings tried in order; the last resort replaces what UTF-8 cannot read.
 ENCODINGS = ("utf-8", "euc-kr", "cp949")
@@ -36,6 +36,7 @@ def read_html_lossy(spark: SparkSession, path: str) -> DataFrame:
 def decoded(df: DataFrame, column: str = "content", out: str = "html") -> DataFrame:
     """Add the text of a binary column by the first encoding that reads it."""
     importable(df.sparkSession)
+    small_batches(df.sparkSession, mb=8)
 
     def text(raw: bytes | None) -> str | None:
         if raw is None:
