@@ -101,8 +101,13 @@ def generated_queries(spark: SparkSession, sf: str) -> DataFrame:
     return gen_queries(e, tables(e), 3).select("query_id", "q", F.array_join("keys", "|").alias("keys"), "label", "answer", "scope")
 
 
+def page_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages as their SQL reads them: a character reference ends in a semicolon."""
+    return extract(read(spark, sf, "pages"), "page_id", closed_refs=True)
+
+
 def pages_title_heading(spark: SparkSession, sf: str) -> DataFrame:
-    e = extract(read(spark, sf, "pages"), "page_id")
+    e = page_extract(spark, sf)
     return e.select(F.col("doc_id").alias("page_id"), "title", "scope_title")
 
 
@@ -116,12 +121,12 @@ def pages_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    c = table_aware(extract(read(spark, sf, "pages"), "page_id"))
+    c = table_aware(stored(page_extract(spark, sf), "extracted"))
     return c.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "heading", F.md5("text").alias("text_md5"))
 
 
 def pages_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    e = stored(extract(read(spark, sf, "pages"), "page_id"), "extracted")
+    e = stored(page_extract(spark, sf), "extracted")
     t = stored(tables(e), "tables")
     return invariants(e, t, table_aware(e, t=t)).drop("missing_tokens")
 

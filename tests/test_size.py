@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import queries
 from gridloom.functions import find, text
 from gridloom.ledger import ledger_pages
 from gridloom.operators.chunk import flat, table_aware
-from gridloom.operators.extract import extract
+from gridloom.operators.extract import document, extract
 from gridloom.operators.grid import tables
 from gridloom.operators.invariants import invariants
 from gridloom.operators.retrieve import CharTfidf, ranked
@@ -86,3 +87,13 @@ def test_pages_are_dealt_over_tasks(spark):
     """Nations' pages were one task's, as Spark took their table for a small one."""
     p = ledger_pages(spark, "/root/testdata/sf0.01").select(F.spark_partition_id().alias("p")).distinct()
     assert p.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pages_read_references_as_their_sql(spark, tmp_path):
+    """A title that was cut within a reference: by the SQL only whole references are characters."""
+    html = "<title>a&amp;&amp</title><body data-x='&lt'><h1>b &amp; c&amp</h1><p>d&quot; e&quo &copy; \ufdd0<script>x&&y</script>"
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    r = queries.pages_title_heading(spark, str(tmp_path)).first()
+    assert (r["title"], r["scope_title"]) == ("a&&amp", "b & c&amp")
+    whole, closed = document(1, html), document(1, html, closed_refs=True)
+    assert whole["title"] == "a&&" and closed["body_text"] == 'b & c&amp d" e&quo © \ufdd0 x&&y'
