@@ -19,10 +19,9 @@ from .operators.evalset import gen_queries, gold, shuffle_cells
 from .operators.extract import blocks, extract, source_cells, table_heads
 from .operators.grid import grid_cells, tables
 from .operators.invariants import chunk_shapes, fingerprint_json, fingerprints, header_kinds, invariants, size_totals, span_kinds, structure_summary, table_shapes, tag_counts, twins
-from .operators.retrieve import Retriever, build_retriever, letter_counts, length_gap, ranked
+from .operators.retrieve import Retriever, build_retriever, letter_counts, length_gap, ranked, shared_grams
 from .operators.scoring import score
-from .functions.text import grams
-from .plans.report import chunk_ids, extraction_accuracy, shown_answer
+from .plans.report import chunk_ids, extraction_prompts, judged, shown_answer
 from .sources.corpus import SEGMENTS, annual_reports, table_zoo
 from .sources.readers import read_html, read_html_lossy, write_files
 from .session import shared_dir, stored
@@ -138,9 +137,7 @@ class GramOverlap(Retriever):
     name = "gram-overlap"
 
     def rank(self, queries: DataFrame, chunks: DataFrame, top: int | None = None) -> DataFrame:
-        own = lambda df, key, text: df.select(key, F.explode(F.array_distinct(grams(text))).alias("gram"))
-        s = own(queries, "query_id", "q").join(own(chunks, "chunk_id", "text"), "gram").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
-        return ranked(s, top).select("query_id", "chunk_id", "rank")
+        return ranked(shared_grams(queries, chunks, top), top).select("query_id", "chunk_id", "rank")
 
 
 def ledger_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,8 +170,9 @@ def ledger_scores(spark: SparkSession, sf: str) -> DataFrame:
 def ledger_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """Accuracy by backend on row-packed chunks: the answer itself, none, and the answer where the context shows it."""
     out = None
+    asked = extraction_prompts(ledger_pages(spark, sf), GramOverlap(), MAX, 1200, per_table=2, names=["stc"])
     for name, ask in (("gold", "gold"), ("none", "none"), ("shown", shown_answer)):
-        a = extraction_accuracy(ledger_pages(spark, sf), ask, GramOverlap(), MAX, 1200, per_table=2, names=["stc"]).select(F.lit(name).alias("backend"), "strategy", "n", F.round("accuracy", 9).alias("accuracy"))
+        a = judged(asked, ask).select(F.lit(name).alias("backend"), "strategy", "n", F.round("accuracy", 9).alias("accuracy"))
         out = a if out is None else out.unionByName(a)
     return out
 

@@ -83,6 +83,52 @@ class Retriever:
         raise NotImplementedError
 
 
+def shared_grams(queries: DataFrame, chunks: DataFrame, top: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score: how many distinct trigrams pairs share, of those that share any; with ``top`` only those that can be among a query's first.
+
+    Tasks meet the stated queries with whole texts, so that no row a gram exists; queries of too many grams are joined instead.
+    """
+    spark = chunks.sparkSession
+    importable(spark)
+    small_batches(spark)
+    asked = queries.select("query_id", F.expr(squeezed("q")).alias("t"))
+    rows = asked.limit(BROADCAST_ROWS + 1).collect()
+    sets = [np.unique(trigram_codes(r["t"])) for r in rows]
+    used = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]))
+    if len(rows) > BROADCAST_ROWS or len(rows) * len(used) > BROADCAST_CELLS:
+        own = lambda df, key, text: df.select(key, F.explode(F.array_distinct(grams(text))).alias("gram"))
+        return own(queries, "query_id", "q").join(own(chunks, "chunk_id", "text"), "gram").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
+    matrix = np.zeros((len(rows), len(used)), np.float32)
+    for k, g in enumerate(sets):
+        matrix[k, np.searchsorted(used, g)] = 1
+    held = spark.sparkContext.broadcast((used, matrix, [r["query_id"] for r in rows]))
+    schema = queries.select("query_id").limit(0).crossJoin(chunks.select("chunk_id").limit(0)).withColumn("score", F.lit(0).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind = to_arrow_schema(schema)
+        used, matrix, ids = held.value
+        ids, best = pa.array(ids, kind[0].type), np.zeros((len(ids), top or 0), np.float32)
+        for b in batches if len(used) else ():
+            for lo in range(0, b.num_rows, BLOCK):
+                chunk_ids = b.column(0).slice(lo, BLOCK)
+                dense = np.zeros((len(chunk_ids), len(used)), np.float32)
+                for k, t in enumerate(b.column(1).slice(lo, BLOCK)):
+                    g = np.unique(trigram_codes(t.as_py()))
+                    at = np.minimum(np.searchsorted(used, g), len(used) - 1)
+                    dense[k, at[used[at] == g]] = 1
+                s = matrix @ dense.T
+                near = s > 0
+                if top:  # a pair behind as many others of its task goes
+                    best = np.partition(np.concatenate([best, s], axis=1), -top, axis=1)[:, -top:]
+                    near &= s >= best.min(axis=1)[:, None]
+                q, c = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), chunk_ids.take(pa.array(c)), pa.array(s[q, c].astype(np.int64))], schema=kind)
+
+    return chunks.select("chunk_id", F.expr(squeezed("text")).alias("t")).mapInArrow(run, schema)
+
+
 @dataclass
 class CharTfidf(Retriever):
     """Cosine of raw term frequency times ln((1 + N) / (1 + df)) + 1 over character n-grams, fitted on the chunks."""

@@ -83,19 +83,33 @@ BACKENDS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def extraction_accuracy(pages: DataFrame, backend: str | Callable[[DataFrame], DataFrame], retriever: Retriever | None = None, max_chars: int = MAX_CHARS, budget: int = 3000, most: int | None = None, per_table: int = 6, names: list[str] | None = None) -> DataFrame:
-    """strategy, n, accuracy: share of queries whose reply names the answer's value. ``most`` caps the queries of a paid run."""
-    ask = BACKENDS[backend] if isinstance(backend, str) else backend
+def extraction_prompts(pages: DataFrame, retriever: Retriever | None = None, max_chars: int = MAX_CHARS, budget: int = 3000, most: int | None = None, per_table: int = 6, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """query_id, answer, prompt by strategy, written once for all backends. ``most`` caps the queries of a paid run."""
     retriever = retriever or CharTfidf()
     e = stored(extract(pages), "extracted")
     t = stored(tables(e), "tables")
     queries = gen_queries(e, t, per_table)
     queries = stored(queries.orderBy("query_id").limit(most) if most else queries, "queries")
-    out = None
+    out = {}
     for name in names or STRATEGIES:
         chunks = stored(chunk_ids(STRATEGIES[name](e, max_chars, t)), "chunks")
-        shown = contexts(retriever.rank(queries.select("query_id", "q"), chunks.select("chunk_id", "text")), chunks, budget)
-        judged = with_same_value(ask(prompts(queries, shown)), "reply", "answer")
-        row = judged.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("same").cast("double")), F.lit(0.0)).alias("accuracy")).withColumn("strategy", F.lit(name))
+        # no chunk is empty, so that a budget of characters holds no more of them; the first counts in any case
+        ranks = retriever.rank(queries.select("query_id", "q"), chunks.select("chunk_id", "text"), max(budget, 1))
+        out[name] = stored(prompts(queries, contexts(ranks, chunks, budget)), "prompts")
+    return out
+
+
+def judged(asked: dict[str, DataFrame], backend: str | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """strategy, n, accuracy: share of prompts whose reply names the answer's value."""
+    ask = BACKENDS[backend] if isinstance(backend, str) else backend
+    out = None
+    for name, p in asked.items():
+        same = with_same_value(ask(p), "reply", "answer")
+        row = same.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("same").cast("double")), F.lit(0.0)).alias("accuracy")).withColumn("strategy", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def extraction_accuracy(pages: DataFrame, backend: str | Callable[[DataFrame], DataFrame], retriever: Retriever | None = None, max_chars: int = MAX_CHARS, budget: int = 3000, most: int | None = None, per_table: int = 6, names: list[str] | None = None) -> DataFrame:
+    """strategy, n, accuracy: share of queries whose reply names the answer's value. ``most`` caps the queries of a paid run."""
+    return judged(extraction_prompts(pages, retriever, max_chars, budget, most, per_table, names), backend)

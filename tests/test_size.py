@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from gridloom import queries
 from gridloom.functions import find, text
-from gridloom.ledger import ledger_pages
+from gridloom.ledger import GramOverlap, ledger_extraction, ledger_pages
 from gridloom.operators.chunk import flat, table_aware
 from gridloom.operators.extract import document, extract
 from gridloom.operators.grid import tables
 from gridloom.operators.invariants import invariants
-from gridloom.operators.retrieve import CharTfidf, ranked
+from gridloom.operators.retrieve import CharTfidf, ranked, shared_grams
 
 
 def test_best_pairs_are_those_of_all_pairs(spark):
@@ -97,3 +97,26 @@ def test_pages_read_references_as_their_sql(spark, tmp_path):
     assert (r["title"], r["scope_title"]) == ("a&&amp", "b & c&amp")
     whole, closed = document(1, html), document(1, html, closed_refs=True)
     assert whole["title"] == "a&&" and closed["body_text"] == 'b & c&amp d" e&quo © \ufdd0 x&&y'
+
+
+def test_shared_grams_by_whole_texts(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abc 한", k=rng.randint(0, 30))) for _ in range(700)]
+    asked = ["abc ab", "한한 b", "zz", "cccabca"]
+    chunks = spark.createDataFrame([(f"c{k:03d}", t) for k, t in enumerate(texts)], "chunk_id string, text string").coalesce(1)
+    queries_ = spark.createDataFrame(list(enumerate(asked)), "query_id long, q string")
+    cut = lambda t: {w[i : i + 3] for w in [re.sub(r"\s+", " ", t)] for i in range(len(w) - 2)}
+    want = {(q, f"c{k:03d}"): n for q, a in enumerate(asked) for k, t in enumerate(texts) if (n := len(cut(a) & cut(t)))}
+    assert {(r["query_id"], r["chunk_id"]): r["score"] for r in shared_grams(queries_, chunks).collect()} == want
+    first = {(q, c) for q in range(4) for c in sorted((c for p, c in want if p == q), key=lambda c: (-want[q, c], c))[:7]}
+    assert {(r["query_id"], r["chunk_id"]) for r in GramOverlap().rank(queries_, chunks, 7).collect()} == first
+    assert shared_grams(queries_, chunks, 7).count() < len(want)
+
+
+def test_backends_share_their_prompts(spark, monkeypatch):
+    """Pages were read, cut and ranked again for each backend."""
+    from gridloom.plans import report
+
+    made = []
+    monkeypatch.setattr(report, "extract", lambda p: made.append(1) or extract(p))
+    assert ledger_extraction(spark, "/root/testdata/sf0.001").count() == 3 and made == [1]
