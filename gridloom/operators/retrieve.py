@@ -22,8 +22,8 @@ from ..session import importable, small_batches, stored
 BROADCAST_ROWS = 200_000
 #: Distinct grams of all chunks, and numbers of a dense query matrix, up to which tasks get them whole (64 MB each).
 BROADCAST_GRAMS, BROADCAST_CELLS = 4_000_000, 8_000_000
-#: Texts that are multiplied with all queries at once.
-BLOCK = 256
+#: Texts that are multiplied with all queries at once, numbers that a block of products holds at most, pairs that are summed again at once.
+BLOCK, BLOCK_CELLS, PAIRS = 256, 2_000_000, 50_000
 NO_TEXT = "the hybrid needs a dense part"
 
 
@@ -52,17 +52,21 @@ class Best:
         self.kth = np.full(n_queries, -np.inf)
         self.held: list[list[tuple[float, object]]] = [[] for _ in range(n_queries)]
 
-    def add(self, ids: list, scores: np.ndarray, exact: Callable[[int, np.ndarray], np.ndarray] | None = None, seen: np.ndarray | None = None) -> None:
+    def add(self, ids: list, scores: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, seen: np.ndarray | None = None) -> None:
         """``scores``: a row a query, a column an id; off by far less than the last place where ``exact`` gives them again. ``seen``: pairs that count."""
         near = scores >= self.kth[:, None] - self.margin
         if seen is not None:
             near &= seen
-        for q in np.flatnonzero(near.any(axis=1)):
-            at = np.flatnonzero(near[q])
-            if len(at) > 4 * self.top:  # only those that can be among the first
-                at = at[scores[q, at] >= np.partition(scores[q, at], -self.top)[-self.top] - self.margin]
-            s = rounded(exact(q, at) if exact else scores[q, at], self.places)
-            found = self.held[q] + [(-x, ids[k]) for x, k in zip(s.tolist(), at.tolist(), strict=True)]
+        if scores.shape[1] > self.top and np.count_nonzero(near) > 4 * self.top * len(scores):  # only those that can be among the first
+            near &= scores >= np.partition(np.where(near, scores, -np.inf), -self.top, axis=1)[:, -self.top, None] - self.margin
+        qs, at = np.nonzero(near)
+        if not len(qs):
+            return
+        s = np.concatenate([rounded(exact(qs[k : k + PAIRS], at[k : k + PAIRS]) if exact else scores[qs[k : k + PAIRS], at[k : k + PAIRS]], self.places) for k in range(0, len(qs), PAIRS)])
+        own, first = np.unique(qs, return_index=True)
+        ends = [*first[1:].tolist(), len(qs)]
+        for q, lo, hi in zip(own.tolist(), first.tolist(), ends, strict=True):
+            found = self.held[q] + [(-x, ids[k]) for x, k in zip(s[lo:hi].tolist(), at[lo:hi].tolist(), strict=True)]
             found.sort()
             self.held[q] = found[: self.top]
             if len(found) >= self.top:
@@ -257,6 +261,51 @@ def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(small(queries)).select("query_id", "chunk_id", F.expr(dot).alias("score"))
 
 
+def vector_matrix(a: pa.Array) -> np.ndarray:
+    """Rows of one length as a matrix of doubles."""
+    flat = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(a), -1)
+
+
+def ordered_dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from the left as SQL does; a matrix product may add in another order."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
+def dense_best(queries: DataFrame, chunks: DataFrame, top: int, places: int) -> DataFrame:
+    """query_id, chunk_id, score (rounded): of dense_scores, the pairs that can be among each query's first ``top``.
+
+    All pairs are multiplied, block by block, but none leaves its task that is behind ``top`` others there. Vectors are of one length.
+    """
+    spark = chunks.sparkSession
+    importable(spark)
+    small_batches(spark)
+    n = queries.count()
+    width = (queries.select(F.size("vq").alias("n")).first() or [0])[0]
+    if n * width > BROADCAST_CELLS or n == 0:
+        return dense_scores(queries, chunks).withColumn("score", F.round("score", places))
+    asked = queries.select("query_id", F.col("vq").cast("array<double>").alias("vq")).toArrow().combine_chunks()
+    held = spark.sparkContext.broadcast((asked["query_id"].to_pylist(), vector_matrix(asked["vq"].combine_chunks())))
+    schema = queries.select("query_id").limit(0).crossJoin(chunks.select("chunk_id").limit(0)).withColumn("score", F.lit(0.0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind = to_arrow_schema(schema)
+        ids, q = held.value
+        found = Best(len(ids), top, places)
+        step = max(1, min(BLOCK, BLOCK_CELLS // len(ids)))
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                v = vector_matrix(b.column(1).slice(lo, step))
+                found.add(b.column(0).slice(lo, step).to_pylist(), q @ v.T, lambda qs, at, v=v: ordered_dots(q[qs], v[at]))
+        a, c, s = found.rows(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(a, kind[0].type), pa.array(c, kind[1].type), pa.array(s, pa.float64())], schema=kind)
+
+    dealt = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select("chunk_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, schema)
+
+
 def fuse(rankings: list[DataFrame], k: int = 60, top: int | None = None) -> DataFrame:
     """Reciprocal rank fusion: sum of 1 / (k + rank)."""
     each = None

@@ -21,7 +21,7 @@ from .operators.evalset import gen_queries
 from .operators.extract import extract
 from .operators.grid import grid_cells, row_kv, source_cells, table_heads, tables, units
 from .operators.invariants import chunk_shapes, conservation, fingerprints, header_kinds, invariants, missing_tokens, span_kinds, structure_summary, tag_counts, twins
-from .operators.retrieve import CharTfidf, dense_scores, fuse, ranked, within_budget
+from .operators.retrieve import CharTfidf, dense_best, dense_scores, fuse, ranked, within_budget
 from .plans.report import retrieval_report
 from .session import stored
 from .sources.corpus import annual_reports, table_zoo
@@ -152,8 +152,7 @@ def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def dense_rank_top5(spark: SparkSession, sf: str) -> DataFrame:
-    s = dense_scores(*vectors(spark, sf)).withColumn("score", F.round("score", 6))
-    return ranked(s, 5).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+    return ranked(dense_best(*vectors(spark, sf), 5, 6), 5).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,7 +14,7 @@ from gridloom.operators.chunk import flat, table_aware
 from gridloom.operators.extract import document, extract
 from gridloom.operators.grid import tables
 from gridloom.operators.invariants import invariants
-from gridloom.operators.retrieve import CharTfidf, ranked, shared_grams
+from gridloom.operators.retrieve import CharTfidf, dense_best, dense_scores, ranked, shared_grams
 
 
 def test_best_pairs_are_those_of_all_pairs(spark):
@@ -120,3 +120,15 @@ def test_backends_share_their_prompts(spark, monkeypatch):
     made = []
     monkeypatch.setattr(report, "extract", lambda p: made.append(1) or extract(p))
     assert ledger_extraction(spark, "/root/testdata/sf0.001").count() == 3 and made == [1]
+
+
+def test_dense_best_pairs_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(900, 16)).astype(np.float32)
+    v[100:400] = v[50]  # copies: many ties
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<float>").repartition(3)
+    q, c = rows.filter("id % 50 = 0").selectExpr("id AS query_id", "v AS vq"), rows.selectExpr("id AS chunk_id", "v")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 6)) for r in ranked(df, 5).collect())
+    best = dense_best(q, c, 5, 6).persist()
+    assert key(best) == key(dense_scores(q, c).withColumn("score", F.round("score", 6)))
+    assert best.count() <= 18 * 5 * int(spark.conf.get("spark.sql.shuffle.partitions"))
