@@ -306,6 +306,73 @@ def dense_best(queries: DataFrame, chunks: DataFrame, top: int, places: int) ->
     return dealt.select("chunk_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, schema)
 
 
+def rounded_sql(x: str, places: int) -> str:
+    """rounded() as Spark SQL, to the same bit."""
+    v = f"abs({x}) * {10.0**places!r}D"
+    return f"signum({x}) * ((floor({v}) + if({v} - floor({v}) >= 0.5D, 1, 0)) / {10.0**places!r}D)"
+
+
+def exact_ranks(pairs: DataFrame, queries: DataFrame, chunks: DataFrame, places: int) -> DataFrame:
+    """query_id, chunk_id, rank among all chunks of stated pairs (query_id, chunk_id, score): tasks count what is ahead of each, by score and then id."""
+    spark = chunks.sparkSession
+    importable(spark)
+    small_batches(spark)
+    asked = queries.select("query_id", F.col("vq").cast("array<double>").alias("vq")).toArrow().combine_chunks()
+    place = {q: k for k, q in enumerate(asked["query_id"].to_pylist())}
+    p = pairs.select("query_id", "chunk_id", "score").toArrow()
+    of, ids, score = np.array([place[x] for x in p["query_id"].to_pylist()], np.int64), p["chunk_id"].to_numpy(), p["score"].to_numpy()
+    order = np.lexsort((score, of))
+    of, ids, score = of[order], ids[order], score[order]
+    held = spark.sparkContext.broadcast((vector_matrix(asked["vq"].combine_chunks()), np.searchsorted(of, np.arange(len(place) + 1)), ids, score, list(place), of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, at, ids, score, names, of = held.value
+        ahead = np.zeros(len(ids), np.int64)
+        step = max(1, min(4 * BLOCK, BLOCK_CELLS // max(1, len(q))))
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                own, v = b.column(0).slice(lo, step).to_numpy(zero_copy_only=False), vector_matrix(b.column(1).slice(lo, step))
+                s = q @ v.T
+                x = np.abs(s) * 10.0**places
+                qs, cs = np.nonzero(np.abs(x - np.floor(x) - 0.5) < 1e-4)  # where the order of the sum may decide
+                for k in range(0, len(qs), PAIRS):
+                    s[qs[k : k + PAIRS], cs[k : k + PAIRS]] = ordered_dots(q[qs[k : k + PAIRS]], v[cs[k : k + PAIRS]])
+                s = rounded(s, places)
+                for k in range(len(q)):
+                    i, j = at[k], at[k + 1]
+                    left = np.searchsorted(score[i:j], s[k])
+                    ahead[i:j] += np.cumsum(np.bincount(left, minlength=j - i + 1)[::-1])[::-1][1:]
+                    same = np.flatnonzero(score[i:j][np.minimum(left, j - i - 1)] == s[k]) if j > i else ()
+                    if len(same):
+                        ahead[i:j] += ((score[i:j] == s[k][same, None]) & (own[same, None] < ids[i:j])).sum(axis=0)
+        for k in range(0, len(ids), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in of[k : k + 100_000]], pa.int64()), pa.array(ids[k : k + 100_000], pa.int64()), pa.array(ahead[k : k + 100_000])], ["query_id", "chunk_id", "n"])
+
+    dealt = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = dealt.select(F.col("chunk_id").cast("long"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "query_id long, chunk_id long, n long")
+    return counts.groupBy("query_id", "chunk_id").agg((F.sum("n") + 1).alias("rank"))
+
+
+def fused_best(parts: list[tuple[DataFrame, DataFrame]], top: int, places: int, k: int = 60) -> DataFrame:
+    """query_id, chunk_id, score: of fuse() over whole dense rankings, the pairs that can be among each query's first ``top``. Ids are whole numbers.
+
+    The first ``top`` of one ranking score over 1 / (k + top). A pair behind rank k + 2 * top of every one of two rankings scores less
+    than 2 / (2 * k + 2 * top), and so is none of the first. The others' ranks are counted, each against all chunks.
+    """
+    most = len(parts) * (k + top) - k + 20
+    pairs = None
+    for q, v in parts:
+        first = ranked(dense_best(q, v, most, places), most).select("query_id", "chunk_id")
+        pairs = first if pairs is None else pairs.unionByName(first)
+    pairs = stored(pairs.distinct(), "pairs")
+    dot = "aggregate(zip_with(vq, v, (a, b) -> cast(a AS double) * b), 0D, (s, x) -> s + x)"
+    ranks = []
+    for q, v in parts:
+        scored = pairs.join(q, "query_id").join(v, "chunk_id").select("query_id", "chunk_id", F.expr(dot).alias("dot")).select("query_id", "chunk_id", F.expr(rounded_sql("dot", places)).alias("score"))
+        ranks.append(exact_ranks(scored, q, v, places))
+    return fuse(ranks, k).drop("rank")
+
+
 def fuse(rankings: list[DataFrame], k: int = 60, top: int | None = None) -> DataFrame:
     """Reciprocal rank fusion: sum of 1 / (k + rank)."""
     each = None

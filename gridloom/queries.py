@@ -21,7 +21,7 @@ from .operators.evalset import gen_queries
 from .operators.extract import extract
 from .operators.grid import grid_cells, row_kv, source_cells, table_heads, tables, units
 from .operators.invariants import chunk_shapes, conservation, fingerprints, header_kinds, invariants, missing_tokens, span_kinds, structure_summary, tag_counts, twins
-from .operators.retrieve import CharTfidf, dense_best, dense_scores, fuse, ranked, within_budget
+from .operators.retrieve import CharTfidf, dense_best, fused_best, ranked, within_budget
 from .plans.report import retrieval_report
 from .session import stored
 from .sources.corpus import annual_reports, table_zoo
@@ -157,11 +157,9 @@ def dense_rank_top5(spark: SparkSession, sf: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     q, v = vectors(spark, sf)
-    a = ranked(dense_scores(q, v).withColumn("score", F.round("score", 6)), None)
     half = lambda d, c: d.withColumn(c, F.slice(c, 1, 32))
-    b = ranked(dense_scores(half(q, "vq"), half(v, "v")).withColumn("score", F.round("score", 6)), None)
-    f = fuse([a, b]).withColumn("score", F.round("score", 9))
-    return ranked(f.drop("rank"), 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+    f = fused_best([(q, v), (half(q, "vq"), half(v, "v"))], 10, 6).withColumn("score", F.round("score", 9))
+    return ranked(f, 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:

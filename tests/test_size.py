@@ -14,7 +14,7 @@ from gridloom.operators.chunk import flat, table_aware
 from gridloom.operators.extract import document, extract
 from gridloom.operators.grid import tables
 from gridloom.operators.invariants import invariants
-from gridloom.operators.retrieve import CharTfidf, dense_best, dense_scores, ranked, shared_grams
+from gridloom.operators.retrieve import CharTfidf, dense_best, dense_scores, fuse, fused_best, ranked, shared_grams
 
 
 def test_best_pairs_are_those_of_all_pairs(spark):
@@ -132,3 +132,16 @@ def test_dense_best_pairs_are_those_of_all_pairs(spark):
     best = dense_best(q, c, 5, 6).persist()
     assert key(best) == key(dense_scores(q, c).withColumn("score", F.round("score", 6)))
     assert best.count() <= 18 * 5 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_fused_best_pairs_are_those_of_whole_rankings(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(600, 8)).astype(np.float32)
+    v[100:250] = v[50]
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<float>").repartition(3)
+    q, c = rows.filter("id % 50 = 0").selectExpr("id AS query_id", "v AS vq"), rows.selectExpr("id AS chunk_id", "v")
+    parts = [(q, c), (q.withColumn("vq", F.slice("vq", 1, 4)), c.withColumn("v", F.slice("v", 1, 4)))]
+    whole = fuse([ranked(dense_scores(*p).withColumn("score", F.round("score", 6))) for p in parts]).drop("rank")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in ranked(df.withColumn("score", F.round("score", 9)), 10).collect())
+    best = fused_best(parts, 10, 6).persist()
+    assert key(best) == key(whole) and best.count() < whole.count()
